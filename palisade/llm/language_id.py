@@ -8,9 +8,6 @@ out of place there.
 
 from __future__ import annotations
 
-import re
-from collections import Counter
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -18,131 +15,132 @@ from pyspark.sql import functions as F
 
 from .common import blocks, cut, remainder
 
-LETTERS = re.compile(r"[^\W\d_]+")
 PROFILE = 300
 MAX_LANGUAGES = 1000
-MAX_WORDS, MAX_GRAMS = 300_000, 200_000
-
-
-class GramTable:
-    """N-grams of words as small numbers; what is known of a word is kept while the table is small."""
-
-    def __init__(self):
-        self.words: dict[str, np.ndarray] = {}
-        self.ids: dict[str, int] = {}
-
-    def full(self) -> bool:
-        return len(self.ids) > MAX_GRAMS
-
-    def word(self, w: str) -> np.ndarray:
-        ids, p = self.ids, f"_{w}_"
-        got = [ids.setdefault(g, len(ids)) for n in (1, 2, 3) for g in (p[i : i + n] for i in range(len(p) - n + 1)) if g != "_"]
-        got = np.array(got, dtype=np.int32)
-        if len(self.words) > MAX_WORDS:
-            self.words.clear()
-        if len(w) < 64:
-            self.words[w] = got
-        return got
-
-    def counts(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers of the n-grams of a whole text, and how often each occurs."""
-        total: Counter = Counter()
-        for block in blocks(text):
-            total.update(LETTERS.findall(block.lower()))
-        if not total:
-            return np.empty(0, np.int64), np.empty(0, np.int64)
-        known, word = self.words.get, self.word
-        sums = np.zeros(len(self.ids), np.float64)
-        items = list(total.items())
-        for k in range(0, len(items), 50_000):
-            part = items[k : k + 50_000]
-            got = [g if (g := known(w)) is not None else word(w) for w, _ in part]
-            sizes = np.fromiter(map(len, got), np.int64, len(got))
-            times = np.repeat(np.fromiter((n for _, n in part), np.float64, len(part)), sizes)
-            now = np.bincount(np.concatenate(got), weights=times, minlength=len(sums))
-            now[: len(sums)] += sums
-            sums = now
-        at = np.flatnonzero(sums)
-        return at, sums[at].astype(np.int64)
+GAP, BITS = 95, 21
+_letters: np.ndarray | None = None
+
+
+def letters() -> np.ndarray:
+    """For every code point, whether it is a letter."""
+    global _letters
+    if _letters is None:
+        _letters = np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
+    return _letters
+
+
+def grams(text: str) -> np.ndarray:
+    """N-grams of one to three characters of a text's words, each word between two gaps, as numbers in order.
+
+    Code points stand side by side in a number, the last one lowest.  The gap alone
+    is no n-gram, and none spans a gap.
+    """
+    code = np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "surrogatepass"), np.uint32)
+    letter = letters()[code]
+    code = np.where(letter, code, GAP).astype(np.int64)
+    two = (code[:-1] << BITS) + code[1:]
+    three = (two[:-1] << BITS) + code[2:]
+    every = np.concatenate((code[letter], two[letter[:-1] | letter[1:]], three[letter[1:-1]]))
+    every.sort()
+    return every
+
+
+def counted(every: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct numbers of an array in order, and how often each occurs."""
+    if not len(every):
+        return every, every
+    first = np.flatnonzero(np.concatenate(([True], every[1:] != every[:-1])))
+    return every[first], np.diff(np.append(first, len(every)))
+
+
+def summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of several ``counted`` results together."""
+    if len(parts) == 1:
+        return parts[0]
+    key, n = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+    order = np.argsort(key, kind="stable")
+    key, n = key[order], n[order]
+    first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    return (key[first], np.add.reduceat(n, first)) if len(key) else (key, n)
+
+
+def profile_of(text: str, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """N-grams of a whole text that fewer than ``size`` others outnumber, and that number of others: their rank."""
+    key, n = summed([counted(grams(b)) for b in blocks(text)])
+    if len(key) > size:
+        least = np.partition(n, len(n) - size)[len(n) - size]
+        key, n = key[n >= least], n[n >= least]
+    return key, len(n) - np.searchsorted(np.sort(n), n, side="right")
 
 
 def _train(batches):
-    table, langs, sums = GramTable(), {}, {}
+    sums: dict[str, list] = {}
+    held = 0
 
     def flush():
-        names = list(table.ids)
-        for lang, total in sums.items():
-            at = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array([names[i] for i in at], pa.string()), pa.array(total[at].astype(np.int64))], ["lang", "gram", "n"])
+        for lang, parts in sums.items():
+            key, n = summed(parts)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(key), pa.string()), pa.array(key), pa.array(n.astype(np.int64))], ["lang", "gram", "n"])
 
     for batch in batches:
+        texts: dict[str, list[str]] = {}
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            at, n = table.counts(text)
-            if len(at):
-                have = sums.get(lang)
-                if have is None or len(have) < len(table.ids):
-                    more = np.zeros(max(1024, 2 * len(table.ids)), np.int64)
-                    if have is not None:
-                        more[: len(have)] = have
-                    have = sums[lang] = more
-                have[at] += n
-            if table.full():
+            texts.setdefault(lang, []).append(text)
+        for lang, own in texts.items():
+            parts = sums.setdefault(lang, [])
+            parts += [counted(grams(b)) for b in blocks(" ".join(own))]
+            sums[lang] = [summed(parts)] if len(parts) > 1 else parts
+            held += sum(len(p[0]) for p in sums[lang])
+        if held > 20_000_000:
+            held = sum(len(p[0]) for parts in sums.values() for p in parts)
+            if held > 2_000_000:
                 yield from flush()
-                table, sums = GramTable(), {}
+                sums, held = {}, 0
     yield from flush()
 
 
 def profiles(docs: DataFrame, text: str = "text", lang: str = "lang", size: int = PROFILE) -> DataFrame:
-    """(lang, gram, rank) of every language: its ``size`` most frequent n-grams, ties to the smaller n-gram.
+    """(lang, gram, rank) of every language: its ``size`` most frequent n-grams, ties to the smaller number.
 
     Counts cover all whole texts given; each task sends one sum per language and n-gram.
     """
     rows = docs.select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text")).where("lang is not null and text is not null")
-    counts = rows.mapInArrow(_train, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = rows.mapInArrow(_train, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
     return counts.withColumn("rank", F.row_number().over(order) - 1).where(F.col("rank") < size).select("lang", "gram", "rank")
 
 
-def _predictor(langs: list[str], ranks: dict[str, dict[str, int]], size: int, text_at: int, keep: list[int], names: list[str]):
+def _predictor(langs: list[str], ranks: dict[int, dict[str, int]], size: int, text_at: int, keep: list[int], names: list[str]):
     """Adds the prediction to the columns ``keep`` of each batch."""
 
+    keys = np.array(sorted(ranks), np.int64)
+    table = np.full((len(langs), len(keys) + 1), -1, np.int32)
+    for i, g in enumerate(keys.tolist()):
+        for k, v in ranks[g].items():
+            table[k, i] = v
+
     def predict(batches):
-        table, known, where = GramTable(), 0, np.full((len(langs), 0), -1, np.int32)
         for batch in batches:
             best, score = [], []
             for text in batch.column(text_at).to_pylist():
-                at, n = table.counts(text) if text is not None else ((), ())
-                if not len(at) or not langs:
+                key, mine = profile_of(text, size) if text else ((), ())
+                if not len(key) or not langs:
                     best.append("und")
                     score.append(0.0)
                     continue
-                if known < len(table.ids):
-                    if where.shape[1] < len(table.ids):
-                        more = np.full((len(langs), max(4096, 2 * len(table.ids))), -1, np.int32)
-                        more[:, : where.shape[1]] = where
-                        where = more
-                    grams = list(table.ids)
-                    for i in range(known, len(grams)):
-                        for k, v in ranks.get(grams[i], {}).items():
-                            where[k, i] = v
-                    known = len(grams)
-                if len(at) > size:
-                    least = np.partition(n, len(n) - size)[len(n) - size]
-                    at, n = at[n >= least], n[n >= least]
-                mine = len(n) - np.searchsorted(np.sort(n), n, side="right")
-                theirs = where[:, at]
+                at = np.searchsorted(keys, key)
+                at[keys[np.minimum(at, len(keys) - 1)] != key] = len(keys)
+                theirs = table[:, at]
                 far = np.where(theirs < 0, size, np.abs(theirs - mine)).sum(axis=1)
                 k = int(np.argmin(far))
                 best.append(langs[k])
-                score.append(max(0.0, 1.0 - float(far[k]) / (size * len(at))))
-                if table.full():
-                    table, known, where = GramTable(), 0, np.full((len(langs), 0), -1, np.int32)
+                score.append(max(0.0, 1.0 - float(far[k]) / (size * len(key))))
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), pa.array(best, pa.string()), pa.array(score, pa.float64())], names)
 
     return predict
 
 
-def learn(docs: DataFrame, text: str = "text", lang: str = "lang", size: int = PROFILE) -> tuple[list[str], dict[str, dict[str, int]]]:
+def learn(docs: DataFrame, text: str = "text", lang: str = "lang", size: int = PROFILE) -> tuple[list[str], dict[int, dict[int, int]]]:
     """Profiles on the driver: at most MAX_LANGUAGES * ``size`` rows; more languages are an error."""
     table = cut(profiles(docs, text, lang, size))
     langs = sorted(r[0] for r in table.select("lang").distinct().limit(MAX_LANGUAGES + 1).collect())

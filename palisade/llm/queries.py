@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import language_id, mixing, near_dup, packing, suffix_dedup
+from . import fingerprints, language_id, licenses, mixing, near_dup, nearest, packing, suffix_dedup
 from .common import documents
 
 
@@ -10,6 +10,18 @@ def op1_mixing(spark, sf_dir):
     return mixing.chosen(documents(spark, sf_dir))
 
 
+def op2_licenses(spark, sf_dir):
+    return licenses.digests(documents(spark, sf_dir))
+
+
+def op3_fingerprints(spark, sf_dir):
+    return fingerprints.fingerprints(documents(spark, sf_dir))
+
+
+def op4_nearest(spark, sf_dir):
+    return nearest.search_table(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op6_near_dup(spark, sf_dir):
     return near_dup.class_of(documents(spark, sf_dir))
 
@@ -26,5 +38,5 @@ def op10_language_id(spark, sf_dir):
     return language_id.predict_all(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op6_near_dup, op8_packing, op9_suffix_dedup, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_licenses, op3_fingerprints, op4_nearest, op6_near_dup, op8_packing, op9_suffix_dedup, op10_language_id)}
 ORACLE_SQL: dict[str, str] = {}
