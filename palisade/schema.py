@@ -1,24 +1,23 @@
-"""Schemas of the tables that operators exchange, and the order of severities."""
+"""Schemas (DDL) of the tables that operators exchange, and the order of severities."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 SEVERITIES = ["low", "medium", "high", "critical"]
 CONFIDENCES = ["low", "medium", "high"]
 
-FINDING = T.StructType.fromDDL(
+FINDING = (
     "rule_id string, severity string, confidence string, message string, file string, line int,"
     " suggestion string, package string, reachable boolean, auto_fixable boolean"
 )
-PACKAGE = T.StructType.fromDDL("name string, version string, ecosystem string")
-LOCK_PACKAGE = T.StructType.fromDDL("file string, ecosystem string, name string, version string, integrity string, dir_path string")
-CONNECTION = T.StructType.fromDDL(
+PACKAGE = "name string, version string, ecosystem string"
+LOCK_PACKAGE = "file string, ecosystem string, name string, version string, integrity string, dir_path string"
+CONNECTION = (
     "session_id string, ts timestamp, remote_host string, resolved_host string, remote_port int, pid int, process_name string, cmdline string"
 )
-ADVISORY = T.StructType.fromDDL("id string, ecosystem string, name string, version string, summary string, scores array<string>, database_severity string, fixed array<string>")
+ADVISORY = "id string, ecosystem string, name string, version string, summary string, scores array<string>, database_severity string, fixed array<string>"
 
 
 def ordinal(severity: Column | str) -> Column:
