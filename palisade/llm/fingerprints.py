@@ -14,9 +14,12 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import cut
+
 SHINGLE, BINS, BITS = 5, 128, 4
 TRIES = 16
 BLOCK, SUPER = 256, 1000
+SMALL = 100_000  # rows of the table of blocks up to which it is broadcast
 SEPARATORS = "[^\\p{L}\\p{N}_]+"
 
 
@@ -93,6 +96,9 @@ def _following(rows: DataFrame) -> DataFrame:
     supers = supers.withColumn("after", F.coalesce(F.lead("head").over(order), F.first("head").over(order)))
     links = inner.join(supers.select("super", "after"), "super").select(F.col("block").alias("before"), F.coalesce("next", "after").alias("next"))
     links = links.select("before", F.col("next.block").alias("block"), F.col("next.first").alias("first"))
+    links = cut(links)
+    if links.count() <= SMALL:
+        links = F.broadcast(links)
     tails = rows.join(links, (rows["block"] == links["block"]) & rows["id"].eqNullSafe(links["first"])).select("id", "text", F.col("before").alias("block"))
     return rows.withColumn("tail", F.lit(False)).unionByName(tails.withColumn("tail", F.lit(True)))
 
