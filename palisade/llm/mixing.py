@@ -127,7 +127,10 @@ def n_tokens(text: str) -> Column:
 def domain_of(source: str) -> Column:
     """Domain of a source by the number at its end; sources without one are of the domain ``other``."""
     number = F.expr(f"try_cast(nullif(regexp_extract(`{source}`, '([0-9]{{1,9}})$', 1), '') as int)")
-    return F.coalesce(F.element_at(F.array(*map(F.lit, DOMAINS)), number % len(DOMAINS) + 1), F.lit("other"))
+    named = F.lit("other")
+    for k, domain in enumerate(DOMAINS):
+        named = F.when(number % len(DOMAINS) == k, domain).otherwise(named)
+    return F.when(number.isNull(), "other").otherwise(named)
 
 
 # Production parameters: weights of domains, and of languages within each.
