@@ -234,8 +234,9 @@ def deduplicate(docs: DataFrame, text: str = "text", least: float = SIMILARITY)
 
 
 def class_of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = SIMILARITY) -> DataFrame:
-    """(doc_id, class_id, kept) for every row; class_id is the smallest doc_id of the class, null if it has none."""
+    """(doc_id, class_id, kept) for every row; class_id is the smallest doc_id of the class, null if it has none, and its row the one kept (of several the first)."""
     rows = keyed(docs, doc_id, text).toDF("__row", "doc_id", "text")
     found = cut(classes(rows.select("__row", "text"), least).join(rows.select("__row", "doc_id"), "__row"))
-    name = found.groupBy("cls").agg(F.min("doc_id").alias("class_id"))
-    return found.join(name, "cls").select("doc_id", "class_id", (F.col("__row") == F.col("cls")).alias("kept"))
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__row"))
+    name = found.groupBy("cls").agg(first.alias("first")).select("cls", F.col("first.doc_id").alias("class_id"), F.col("first.__row").alias("__kept"))
+    return found.join(name, "cls").select("doc_id", "class_id", (F.col("__row") == F.col("__kept")).alias("kept"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from . import fingerprints, language_id, language_model, licenses, mixing, near_dup, nearest, packing, quality, suffix_dedup
 from .common import documents
+from .sql import ORACLE_SQL  # noqa: F401
 
 
 def op1_mixing(spark, sf_dir):
@@ -47,4 +48,4 @@ def op10_language_id(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (op1_mixing, op2_licenses, op3_fingerprints, op4_nearest, op5_quality, op6_near_dup, op7_lm_scoring, op8_packing, op9_suffix_dedup, op10_language_id)}
-ORACLE_SQL: dict[str, str] = {}
+
