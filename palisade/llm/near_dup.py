@@ -22,6 +22,7 @@ from .components import components
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 22, 5
+HUB_BANDS, BLOCK = 4, 128
 K = BANDS * ROWS
 DARTS = int(K * (np.log(K) + 4))
 U = np.uint64
@@ -180,7 +181,81 @@ def _similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return rows.select("a", "b", "x", "y").mapInArrow(_verify(least), "a long, b long")
 
 
-def classes(rows: DataFrame, least: float = SIMILARITY, rounds: int = 3) -> DataFrame:
+def _with_components(comp: DataFrame, links: DataFrame) -> DataFrame:
+    """``comp`` (rep, comp) with the components of ``links`` in place of what it says, where there are any."""
+    found = components(links).select(F.col("node").alias("rep"), F.col("comp").alias("__c"))
+    return comp.join(found, "rep", "left").select("rep", F.coalesce("__c", "comp").alias("comp"))
+
+
+def _shared(sets: list[np.ndarray], width: int = 4096) -> np.ndarray:
+    """How many units each two of the sets share: products of slices of their incidence matrix, without units that one set alone has."""
+    n, size = len(sets), [len(s) for s in sets]
+    own = np.repeat(np.arange(n), size)
+    unit, which, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    column = np.cumsum(count > 1) - 1
+    kept = count[which] > 1
+    own, at = own[kept], column[which[kept]]
+    order = np.argsort(at, kind="stable")
+    own, at = own[order], at[order]
+    total = np.zeros((n, n), np.float32)
+    for first in range(0, int(at[-1]) + 1 if len(at) else 0, width):
+        lo, hi = np.searchsorted(at, (first, first + width))
+        part = np.zeros((n, width), np.float32)
+        part[own[lo:hi], at[lo:hi] - first] = 1
+        total += part @ part.T
+    return total
+
+
+def _compare(least: float):
+    """Links between the members of two blocks that aren't in one class yet; one is enough to join two classes."""
+
+    def run(batches):
+        for batch in batches:
+            a, b = [], []
+            for x in batch.to_pylist():
+                members = x["x"] + (x["y"] if x["block"] != x["other"] else [])
+                sets = [np.frombuffer(m["units"], np.uint64) for m in members]
+                rep, cls = [m["rep"] for m in members], np.array([m["comp"] for m in members])
+                size = np.array([len(s) for s in sets], np.float64)
+                both = _shared(sets).astype(np.float64)
+                near = (both >= least * (size[:, None] + size[None, :] - both) - 1e-9) & (cls[:, None] != cls[None, :])
+                top: dict[int, int] = {}
+
+                def find(c):
+                    while c in top:
+                        c = top[c]
+                    return c
+
+                for i, k in zip(*np.nonzero(np.triu(near))):
+                    p, q = find(int(cls[i])), find(int(cls[k]))
+                    if p != q:
+                        top[max(p, q)] = min(p, q)
+                        a.append(rep[i])
+                        b.append(rep[k])
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return run
+
+
+def _across(bucket: DataFrame, comp: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Links within buckets (key, rep) that hold more than one class: all members against all, block by block."""
+    now = cut(bucket.join(comp, "rep"))
+    mixed = now.groupBy("key").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    rows = now.join(mixed.select("key", blocks.alias("blocks")), "key").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    # the same members in the same classes meet in many bands: once is enough
+    small = rows.where("blocks = 1").groupBy("key").agg(F.array_sort(F.collect_list("rep")).alias("reps")).groupBy("reps").agg(F.min("key").alias("key")).select("key")
+    rows = rows.where("blocks > 1").unionByName(rows.where("blocks = 1").join(small, "key", "left_semi"))
+    rows = rows.join(sets.select(F.col("row").alias("rep"), "units"), "rep")
+    packed = cut(rows.groupBy("key", "blocks", "block").agg(F.collect_list(F.struct("rep", "comp", "units")).alias("x")))
+    one = packed.where("blocks = 1").select("block", F.col("block").alias("other"), "x", F.lit(None).cast(packed.schema["x"].dataType).alias("y"))
+    left = packed.where("blocks > 1").withColumn("other", F.explode(F.sequence("block", F.col("blocks") - 1)))
+    right = packed.where("blocks > 1").select("key", F.col("block").alias("other"), F.col("x").alias("y"))
+    met = one.unionByName(left.join(right, ["key", "other"]).select("block", "other", "x", "y"))
+    return met.repartition(F.xxhash64(F.col("x.rep"), "other")).mapInArrow(_compare(least), "a long, b long").distinct()
+
+
+def classes(rows: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """(__row, cls) for rows of (__row, text): cls is the smallest __row of the class.
 
     Texts with the same words in the same order (letter case and punctuation
@@ -190,40 +265,31 @@ def classes(rows: DataFrame, least: float = SIMILARITY, rounds: int = 3) -> Data
     of 5 coordinates a pair at 0.8 is missed once in 6,000 times, and less often
     above.
 
-    Copies are folded first.  In a bucket of a band every member is compared with
-    one hub, drawn anew for each bucket and round, unless they are in one class
-    already; what ``rounds`` of this leave apart is then compared with the hub of
-    every other class in the bucket.  So a bucket of n texts costs n comparisons a
-    round, and no pair of classes that share a bucket is left uncompared.  Nothing
-    is capped.  An empty table gives an empty one.
+    Copies are folded first.  In the buckets of HUB_BANDS bands every member is
+    compared with one hub, which joins groups of very like texts at the cost of a
+    comparison each.  Buckets of any band that still hold more than one class are
+    then compared whole, in blocks of about BLOCK members: the tasks get pairs of
+    blocks, and of pairs of texts only links leave them.  So no pair that shares a
+    bucket is left uncompared unless it is in one class already, and nothing is
+    capped.  An empty table gives an empty one.
     """
     signed = cut(rows.select("__row", "text").mapInArrow(_sign, "__row long, same binary, bands array<long>"))
     rep = signed.groupBy("same").agg(F.min("__row").alias("rep"))
     member = cut(signed.select("__row", "same").join(rep, "same").select("__row", "rep"))
-    bucket = signed.join(member.where("__row = rep").select("__row"), "__row", "left_semi").select(F.col("__row").alias("rep"), F.explode("bands").alias("key"))
+    bucket = signed.join(member.where("__row = rep").select("__row"), "__row", "left_semi").select(F.col("__row").alias("rep"), F.posexplode("bands").alias("band", "key"))
     full = bucket.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    bucket = cut(bucket.join(full, "key").select("key", "rep"))
+    bucket = cut(bucket.join(full, "key").select("key", "band", "rep"))
     needed = bucket.select(F.col("rep").alias("__row")).distinct()
     sets = cut(rows.select("__row", "text").join(needed, "__row", "left_semi").mapInArrow(_units, "row long, units binary"))
 
-    links, comp = None, bucket.select("rep", F.col("rep").alias("comp")).distinct()
-    for k in range(rounds + 1):
-        now = cut(bucket.join(comp, "rep"))
-        hub = now.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min_by(F.struct("rep", "comp"), F.xxhash64("rep", F.lit(k))).alias("hub")).where("lo <> hi")
-        if k < rounds:
-            pairs = now.join(hub, "key").where("comp <> hub.comp").select("rep", F.col("hub.rep").alias("to"))
-        else:
-            heads = now.join(hub.select("key"), "key").groupBy("key", F.col("comp").alias("c")).agg(F.min("rep").alias("to"))
-            pairs = now.join(heads, "key").where("comp <> c").select("rep", "to")
-        pairs = pairs.select(F.least("rep", "to").alias("a"), F.greatest("rep", "to").alias("b")).distinct()
-        found = cut(_similar(pairs, sets, least))
-        if found.isEmpty():
-            if k < rounds:
-                continue
-            break
-        links = found if links is None else links.unionByName(found)
-        comp = components(links)
-        comp = cut(bucket.select("rep").distinct().join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("rep", F.coalesce("comp", "rep").alias("comp")))
+    comp = bucket.select("rep", F.col("rep").alias("comp")).distinct()
+    now = bucket.where(F.col("band") < HUB_BANDS)
+    hub = now.groupBy("key").agg(F.min_by("rep", F.xxhash64("rep")).alias("hub"))
+    pairs = now.join(hub, "key").where("rep <> hub").select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
+    links = cut(_similar(pairs, sets, least))
+    comp = cut(_with_components(comp, links))
+    links = links.unionByName(cut(_across(bucket.select("key", "rep"), comp, sets, least)))
+    comp = _with_components(comp.select("rep", F.col("rep").alias("comp")), links)
     return member.join(comp, "rep", "left").select("__row", F.coalesce("comp", "rep").alias("cls"))
 
 
