@@ -95,3 +95,10 @@ def steady(spark: SparkSession) -> None:
     name = "spark.sql.files.minPartitionNum"
     if spark.conf.get(name, None) is None:
         spark.conf.set(name, str(max(1, spark.sparkContext.defaultParallelism)))
+
+
+def slices(batches, rows: int = 512):
+    """Batches in slices of ``rows`` at most, so that few texts at a time become Python objects."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, cut, keyed
+from .common import blocks, cut, keyed, slices
 from .components import components
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -132,7 +132,7 @@ def _sign(batches):
         lists = pa.ListArray.from_arrays(pa.array([0, *np.cumsum([BANDS if len(s) else 0 for s in sets])], pa.int32()), pa.array(keys[full].ravel()))
         return pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(same, pa.binary()), lists], ["__row", "same", "bands"])
 
-    for batch in batches:
+    for batch in slices(batches):
         rows, same, sets = batch.column(0).to_pylist(), [], []
         for text in batch.column(1).to_pylist():
             ids = word_ids(text or "")
@@ -150,7 +150,7 @@ def _sign(batches):
 
 
 def _units(batches):
-    for batch in batches:
+    for batch in slices(batches):
         rows, sets = batch.column(0).to_pylist(), [np.sort(units(word_ids(t or ""))).tobytes() for t in batch.column(1).to_pylist()]
         for i in range(0, len(rows), 500):
             yield pa.RecordBatch.from_arrays([pa.array(rows[i : i + 500], pa.int64()), pa.array(sets[i : i + 500], pa.binary())], ["row", "units"])
@@ -168,7 +168,7 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
 
 def _verify(least: float):
     def verify(batches):
-        for batch in batches:
+        for batch in slices(batches):
             a, b, x, y = (batch.column(i).to_pylist() for i in range(4))
             keep = [similarity(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)) >= least for p, q in zip(x, y)]
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
@@ -210,7 +210,7 @@ def _compare(least: float):
     """Links between the members of two blocks that aren't in one class yet; one is enough to join two classes."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches, 1):
             a, b = [], []
             for x in batch.to_pylist():
                 members = x["x"] + (x["y"] if x["block"] != x["other"] else [])
