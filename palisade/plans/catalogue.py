@@ -48,7 +48,7 @@ def sql_text(s: str) -> str:
 LINES = r"(select doc_id, source, generate_subscripts(l, 1) as line_no, unnest(l) as line from (select doc_id, source, string_split_regex(regexp_replace(text, '\n\z', ''), '\r?\n') as l from documents))"
 SQL_ENTROPY = "list_sum(list_transform(map_values(list_aggregate(list_transform(range(0, strlen({v})), lambda i: substr(hex({v}), (i * 2 + 1)::bigint, 2)), 'histogram')), lambda c: -(c / strlen({v})) * log2(c / strlen({v}))))"
 SQL_ASSIGN = sql_text(rules.ASSIGNMENT)
-SQL_ASSIGNMENTS = f"(select doc_id, source, line_no, regexp_extract(line, {SQL_ASSIGN}, 1) as name, regexp_extract(line, {SQL_ASSIGN}, 2) as value from {LINES} where regexp_matches(line, {SQL_ASSIGN}) and not contains(line, 'depsec:allow'))"
+SQL_ASSIGNMENTS = f"(select doc_id, source, line_no, regexp_extract(line, {SQL_ASSIGN}, 1) as name, regexp_extract(line, {SQL_ASSIGN}, 2) as value from {LINES} where regexp_matches(line, {SQL_ASSIGN}) and not contains(line, 'scan:allow'))"
 
 
 # --- scans and rules ---------------------------------------------------------------
