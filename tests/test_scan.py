@@ -1,0 +1,65 @@
+"""The whole scan, settings, audits and signatures."""
+
+import hashlib
+import hmac
+
+from pyspark.sql import functions as F
+
+from palisade.operators import attestation, audit, classify
+from palisade.plans import scan
+from palisade.sources import config
+
+
+def files(spark):
+    return spark.createDataFrame(
+        [
+            ("node_modules/evil/a.js", "const key = readFile('~/.ssh/id_rsa');"),
+            ("node_modules/evil/b.js", "const cp = require('child_process');\ncp.exec(cmd);\nfetch('http://1.2.3.4/x');"),
+            ("node_modules/fine/i.js", "module.exports = 1;"),
+        ],
+        "path string, text string",
+    )
+
+
+def test_scan(spark):
+    own = spark.createDataFrame([("src/app.js", "import fine from 'fine';\nconst e = require('evil');")], "path string, text string")
+    flows = spark.createDataFrame([(".github/workflows/ci.yml", 1, "jobs:"), (".github/workflows/ci.yml", 2, "- uses: a/b@main")], "file string, line_no int, line string")
+    report = scan.scan(files(spark), flows=flows, own_sources=own)
+    got = {(r.rule_id, r.package) for r in report.findings.collect()}
+    assert {("P004", "evil"), ("P001", "evil"), ("P003", "evil"), ("COMBO-001", "evil"), ("W001", None), ("W002", None)} <= got
+    assert not [p for _, p in got if p == "fine"] and report.exit_code() == 1
+    assert all(r.reachable for r in report.findings.where("package = 'evil'").collect())
+    assert report.grade.first().grade in "BCDF" and report.scores.count() == len(config.WEIGHTS)
+    quiet = scan.scan(files(spark).where("path like '%fine%'"))
+    assert quiet.exit_code() == 0 and quiet.grade.first().grade == "A"
+
+
+def test_config(spark):
+    c = config.parsed('[ignore]\npatterns = ["P001"]\n[patterns]\nskip_dirs = ["x"]\n[patterns.allow]\nevil = ["P004"]\n')
+    got = {r.rule_id for r in scan.scan(files(spark), c).findings.collect()}
+    assert "P001" not in got and "P004" not in got and "P003" in got
+    assert config.parsed("not [ toml").weights == config.WEIGHTS and config.parsed(None).max_findings == 50
+    assert config.rule('[rule]\nid = "X"\n[rule.match]\nfile_patterns = ["*.js"]\ncontent_patterns = ["eval"]')["id"] == "X" and config.rule("x") is None
+    assert '"b"' in config.baseline(spark.createDataFrame([("b",), ("a",), ("b",)], "host string"), "2024-01-01")
+
+
+def test_audit(spark):
+    found = audit.capabilities(files(spark))
+    assert {(r.kind, r.n) for r in audit.kinds(found).collect()} == {("shell_execution", 1), ("network_access", 1)}
+    entries = spark.createDataFrame([("evil", "node_modules/evil/a.js")], "package string, path string")
+    assert [r.path[-4:] for r in audit.key_files(files(spark), found, entries).orderBy("path").collect()] == ["a.js", "b.js"]
+
+
+def test_attestation(spark):
+    rows = spark.createDataFrame([("s", "a", "expected"), ("s", "b", "critical")], "session string, remote_host string, class string")
+    out = attestation.signed(attestation.summaries(rows, "session"), b"k")
+    r = out.first()
+    assert r.signature == hmac.new(b"k", r.body.encode(), hashlib.sha256).hexdigest()
+    assert [x.valid for x in attestation.verified(out, b"k").collect()] == [True]
+    assert [x.valid for x in attestation.verified(out.withColumn("body", F.lit("{}")), b"k").collect()] == [False]
+
+
+def test_classify(spark):
+    f = spark.createDataFrame([(1, "W001"), (2, "P001"), (3, "V:GHSA")], "finding_id long, rule_id string")
+    assert {r.finding_id: r.classification for r in classify.classified(f).collect()} == {1: "TP", 2: "NI", 3: "TP"}
+    assert classify.classified(f, most=1).count() == 1
