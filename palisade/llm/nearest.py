@@ -131,7 +131,8 @@ def search(queries: DataFrame, candidates: DataFrame, k: int = 10) -> DataFrame:
     repeated candidates are found each.  Empty tables give an empty one.
 
     Candidate tiles are dealt into groups, and each group meets a copy of the query
-    blocks, which are a hundredth of the table; a task holds one pair of blocks and
+    blocks, which are a hundredth of the table; both sides are shuffled, as the
+    copies grow with the table and their size is underestimated; a task holds one pair of blocks and
     k results for each of its queries.
     """
     run, kind = _tiles(TILE)
@@ -143,7 +144,7 @@ def search(queries: DataFrame, candidates: DataFrame, k: int = 10) -> DataFrame:
     row = F.struct("dim", "ids", "vecs", "codes", "scales", "errors")
     left = tiles.select("dim", group(GROUPS).alias("g"), row.alias("c"))
     right = asked.select("dim", row.alias("q"), F.explode(F.sequence(F.lit(0), F.lit(GROUPS - 1))).alias("g"))
-    met = left.join(right, ["dim", "g"]).select("q", "c").mapInArrow(_search(k), "query_id long, vec_id long, score double")
+    met = left.join(right.hint("merge"), ["dim", "g"]).select("q", "c").mapInArrow(_search(k), "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
