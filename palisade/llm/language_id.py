@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import blocks, cut, remainder
+from .common import blocks, cut, remainder, slices
 
 PROFILE = 300
 MAX_LANGUAGES = 1000
@@ -82,7 +82,7 @@ def _train(batches):
             key, n = summed(parts)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(key), pa.string()), pa.array(key), pa.array(n.astype(np.int64))], ["lang", "gram", "n"])
 
-    for batch in batches:
+    for batch in slices(batches):
         texts: dict[str, list[str]] = {}
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             texts.setdefault(lang, []).append(text)
@@ -120,7 +120,7 @@ def _predictor(langs: list[str], ranks: dict[int, dict[str, int]], size: int, te
             table[k, i] = v
 
     def predict(batches):
-        for batch in batches:
+        for batch in slices(batches):
             best, score = [], []
             for text in batch.column(text_at).to_pylist():
                 key, mine = profile_of(text, size) if text else ((), ())

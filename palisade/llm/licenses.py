@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices
+
 # Phrases and their labels.
 PHRASES = {
     "cc by": "cc-by",
@@ -141,7 +143,7 @@ def _scan(templates: list[tuple[str, str]], phrases: list[tuple[str, str]], keep
             starts.setdefault(p[0], []).append((p, label))
         known = {w for t in texts for w in t}
         ask = known | set(starts)
-        for batch in batches:
+        for batch in slices(batches):
             out = ([], [], [], [])
             for text in batch.column(keep).to_pylist():
                 w = words(text)

@@ -18,11 +18,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import blocks, cut
+from .common import blocks, cut, slices
 from .near_dup import _powers, mix
 
 WINDOW, END = 2048, 1
-MAX_WORDS = 1_500_000
+MAX_WORDS = 400_000
 _loaded: dict = {}
 
 
@@ -134,17 +134,24 @@ class Encoder:
     PLAIN = re.compile("[\x00-\x7f\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*")
 
     def __init__(self, vocabulary: str):
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_str(vocabulary)
+        self.vocabulary, self.loaded = vocabulary, None
         model = json.loads(vocabulary)
         normal = [x["type"] for x in (model.get("normalizer") or {}).get("normalizers", [])]
         self.merges = Merges(model["model"]) if normal == ["NFC", "Replace", "Lowercase"] and model["model"].get("end_of_word_suffix") else None
         self.forget()
 
+    @property
+    def tokenizer(self):
+        """The library's tokenizer, loaded when the first text needs it."""
+        if self.loaded is None:
+            import os
+
+            os.environ["TOKENIZERS_PARALLELISM"] = "false"
+            from tokenizers import Tokenizer
+
+            self.loaded = Tokenizer.from_str(self.vocabulary)
+        return self.loaded
+
     def forget(self) -> None:
         self.keys, self.place, self.count = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
         self.store = np.empty(0, np.uint32)
@@ -210,7 +217,7 @@ def _tokens(vocabulary: str, end: int, names: list[str]):
 
     def run(batches):
         chunks, part, before = _tokenizer(vocabulary), TaskContext.get().partitionId(), 0
-        for batch in batches:
+        for batch in slices(batches):
             keep, texts = list(range(batch.num_columns - 1)), batch.column(batch.num_columns - 1).to_pylist()
             at = 0
             while at < len(texts):

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, keyed
+from .common import cut, keyed, slices
 
 LENGTH, GRAM, WIDTH = 400, 32, 32
 PIECE, PLACE_BITS = 1 << 23, 24
@@ -76,7 +76,7 @@ def _anchor_rows(length: int):
     names = ["row", "lo", "hi", "place", "gram", "xa", "xb"]
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             parts = []
             for row, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if data is None or len(data) < length:
@@ -100,7 +100,7 @@ def _range_rows(length: int):
     inner = length - WIDTH + 1
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             out = ([], [], [], [], [])
             for row, data, runs in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 view = memoryview(data)
@@ -214,7 +214,7 @@ def _mask_rows(batches):
         masks = repeated_masks(part)
         return pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*part)] + [pa.array(masks, pa.int64())], ["core", "left", "right", "mask"])
 
-    for batch in batches:
+    for batch in slices(batches):
         for x in zip(*(batch.column(i).to_pylist() for i in range(3))):
             if len(held) >= MERGE and held[-1][0] != x[0]:
                 yield flush(held)
@@ -243,7 +243,7 @@ def _cut_rows(length: int):
         return out
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             rows, held = [], 0
             for row, data, marks in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 data, gone = data or b"", spans(marks)
@@ -328,5 +328,5 @@ def without_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH) -
 
 
 def _decoded(batches):
-    for batch in batches:
+    for batch in slices(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([b.decode("utf-8", "ignore") for b in batch.column(1).to_pylist()], pa.string())], ["__row", "__text"])
