@@ -32,16 +32,26 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_own_dir}"
 
 
+def drop(spark: SparkSession, paths: list[str]) -> None:
+    """Delete tables that ``cut`` has written and nothing reads any more."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(conf).delete(p, True)
+        _written.remove(path)
+
+
+def written() -> list[str]:
+    """Tables that ``cut`` has written and that are still there."""
+    return list(_written)
+
+
 def _clean() -> None:
     spark = SparkSession.getActiveSession()
     if spark is None or not _written:
         return
     try:
-        jvm = spark.sparkContext._jvm
-        conf = spark.sparkContext._jsc.hadoopConfiguration()
-        for path in _written:
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(conf).delete(p, True)
+        drop(spark, written())
     except Exception:  # the JVM may be gone when the process ends
         pass
 
