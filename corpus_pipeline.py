@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palisade.llm import language_id, mixing, near_dup, packing, suffix_dedup
-from palisade.llm.common import cut, documents
+from palisade.llm.common import cut, documents, drop, written
 
 #: Bytes from which a string that occurs again is removed.
 REPEAT_BYTES = 400
@@ -44,12 +44,28 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, ["doc_id", "lang", "source"], "text", packing.read_vocabulary())
 
 
+_tables: dict[int, list[str]] = {}  # by stage, what it wrote on the way to its last result
+
+
+def _tidy(k: int, stage):
+    """``stage`` as the k-th: the result of the one before is written by now, so the tables behind that can go."""
+
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        there = set(written())
+        drop(spark, [t for t in _tables.pop(k - 1, ()) if t in there])
+        out = stage(spark, docs, sf_dir)
+        _tables[k] = [t for t in written() if t not in there]
+        return out
+
+    return run_stage
+
+
 STAGES = [
-    ("language_id", language),
-    ("near_dedup", near_duplicates),
-    ("suffix_dedup", repeats),
-    ("mixing", mixture),
-    ("packing", packed),
+    ("language_id", _tidy(0, language)),
+    ("near_dedup", _tidy(1, near_duplicates)),
+    ("suffix_dedup", _tidy(2, repeats)),
+    ("mixing", _tidy(3, mixture)),
+    ("packing", _tidy(4, packed)),
 ]
 
 ORACLE_SQL = None
