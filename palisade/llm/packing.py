@@ -22,6 +22,7 @@ from .common import blocks, cut, slices
 from .near_dup import _powers, mix
 
 WINDOW, END = 2048, 1
+SMALL = 100_000  # partitions up to which the table of their places is broadcast
 MAX_WORDS = 400_000
 _loaded: dict = {}
 
@@ -256,6 +257,9 @@ def pack(docs: DataFrame, keep: list[str], text: str, vocabulary: str, window: i
     line = cut(tokenized(docs, keep, text, vocabulary, end))
     totals = line.groupBy("__part").agg(F.sum("__n").alias("total"))
     bases = totals.select("__part", (F.sum("total").over(Window.orderBy("__part")) - F.col("total")).alias("__base"))  # one row a partition
+    bases = cut(bases)
+    if bases.count() <= SMALL:
+        bases = F.broadcast(bases)
     at = F.col("__base") + F.col("__before")
     line = line.join(bases, "__part").withColumn("__at", at)
     first, last = F.expr(f"__at div {window}"), F.expr(f"(__at + __n - 1) div {window}")
