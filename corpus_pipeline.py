@@ -16,6 +16,8 @@ from palisade.llm.common import cut, documents, drop, written
 
 #: Bytes from which a string that occurs again is removed.
 REPEAT_BYTES = 400
+#: Words from which a passage that stands in another text goes, however few bytes it has.
+REPEAT_WORDS = 51
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,8 +31,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Long strings that occur more than once go from the texts; n_chars follows."""
-    out = suffix_dedup.without_repeats(docs, length=REPEAT_BYTES)
+    """Long strings that occur more than once, and passages of over 50 words that texts share, go from the texts; n_chars follows."""
+    out = suffix_dedup.without_repeats(docs, length=REPEAT_BYTES, words=REPEAT_WORDS)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 

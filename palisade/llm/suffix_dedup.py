@@ -20,6 +20,10 @@ approached in three exact steps.
    intervals.  No suffix is sorted again.
 
 Grams and cores are compared by 64 and 128 bits of hash, the rest byte by byte.
+
+Passages of some number of words that repeat across texts, however few bytes they
+have, are found in the same way: every window of that many words names its smallest
+gram of 8 words, and the windows of grams that stand in two texts are compared.
 """
 
 from __future__ import annotations
@@ -31,10 +35,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, keyed, slices
+from .near_dup import _powers, mix
 
 LENGTH, GRAM, WIDTH = 400, 32, 32
 PIECE, PLACE_BITS = 1 << 23, 24
 HOT, SHARD, MERGE = 20_000, 5_000, 20_000
+WORD_GRAM, WORD_PIECE = 8, 1 << 20
 U = np.uint64
 TABLE = np.random.Generator(np.random.PCG64(7)).integers(0, 1 << 63, 256, dtype=np.uint64) * U(2) + U(1)
 
@@ -94,18 +100,86 @@ def _anchor_rows(length: int):
     return run
 
 
-def _range_rows(length: int):
-    """Strings of the ranges of windows of each run in column 2: array of (lo, hi, place)."""
-    kind = pa.schema([("row", pa.int64()), ("mid", pa.int64()), ("core", pa.binary()), ("left", pa.binary()), ("right", pa.binary())])
+_wordy: np.ndarray | None = None
+
+
+def word_places(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Code points of a text, the byte at which each starts (and the end), and the first code point of each word and the one after it."""
+    global _wordy
+    if _wordy is None:
+        _wordy = np.fromiter((chr(i).isalnum() or chr(i) == "_" for i in range(0x110000)), bool, 0x110000)
+    code = np.frombuffer(data.decode("utf-8", "surrogateescape").encode("utf-32-le", "surrogatepass"), np.uint32)
+    size = 1 + (code >= 0x80).astype(np.int64) + (code >= 0x800) + (code >= 0x10000)
+    size[(code >= 0xDC80) & (code <= 0xDCFF)] = 1  # a byte that is no character
+    inside = np.zeros(len(code) + 2, bool)
+    inside[1:-1] = _wordy[code]
+    edge = np.flatnonzero(inside[1:] != inside[:-1])
+    return code, np.concatenate(([0], np.cumsum(size))), edge[::2], edge[1::2]
+
+
+def word_anchors(data: bytes, least: int, piece: int = WORD_PIECE):
+    """(a, b, gram): the windows of ``least`` words in the bytes a..b have one anchor; arrays over the runs of one text."""
+    found, at, size, u = [], 0, piece, least - WORD_GRAM + 1
+    while at < len(data):
+        code, byte, start, end = word_places(data[at : at + size])
+        whole = at + size >= len(data)
+        n = len(start) if whole else len(start) - 1  # the last word may go on
+        m = n - least + 1
+        if m > 0:
+            up, down = _powers(len(code) + 1)
+            sums = np.zeros(len(code) + 1, U)
+            np.cumsum((code.astype(U) + U(1)) * up[: len(code)], out=sums[1:])
+            first, last = start[: n - WORD_GRAM + 1], end[WORD_GRAM - 1 : n]
+            gram = mix(mix((sums[last] - sums[first]) * down[first]) + (last - first).astype(U))
+            place = np.lib.stride_tricks.sliding_window_view(gram, u).argmin(axis=1) + np.arange(m)
+            lo = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1])))
+            hi = np.append(lo[1:], m) - 1
+            found.append((byte[start[lo]] + at, byte[end[hi + least - 1]] + at, gram[place[lo]].view(np.int64)))
+        if whole:
+            break
+        if m > 0:
+            at, size = at + int(byte[start[m]]), piece
+        else:
+            size *= 2
+    return [np.concatenate(x) for x in zip(*found)] if found else [np.empty(0, np.int64)] * 3
+
+
+def _word_anchor_rows(least: int):
+    names = ["row", "a", "b", "gram"]
+
+    def run(batches):
+        for batch in slices(batches):
+            parts = [(np.empty(0, np.int64),) * 4]
+            for row, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                a, b, gram = word_anchors(data or b"", least)
+                parts.append((np.full(len(a), row, np.int64), a, b, gram))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts)], names)
+
+    return run
+
+
+def _range_rows(length: int, words: int = 0):
+    """Strings of the ranges of windows of each run in column 2: array of (lo, hi, place).
+
+    A run without a place is one of windows of ``words`` words in the bytes lo..hi;
+    each of these gives a row with its first byte, the one after it and a hash.
+    """
+    kind = pa.schema([("row", pa.int64()), ("mid", pa.int64()), ("core", pa.binary()), ("left", pa.binary()), ("right", pa.binary()), ("stop", pa.int64())])
     inner = length - WIDTH + 1
 
     def run(batches):
         for batch in slices(batches):
-            out = ([], [], [], [], [])
+            out = ([], [], [], [], [], [])
             for row, data, runs in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 view = memoryview(data)
                 for x in runs:
                     lo, hi, place = x["lo"], x["hi"], x["place"]
+                    if place is None:
+                        _, byte, start, end = word_places(data[lo:hi])
+                        for a, b in zip((byte[start[: len(start) - words + 1]] + lo).tolist(), (byte[end[words - 1 :]] + lo).tolist()):
+                            for c, value in zip(out, (row, a, xxhash.xxh3_128_digest(view[a:b]), None, None, b)):
+                                c.append(value)
+                        continue
                     for r in range((place - hi) // WIDTH, (place - lo) // WIDTH + 1):
                         mid = place - r * WIDTH
                         d0, d1 = max(0, mid - hi), min(WIDTH - 1, mid - lo)
@@ -114,9 +188,10 @@ def _range_rows(length: int):
                         out[2].append(xxhash.xxh3_128_digest(view[mid : mid + inner]))
                         out[3].append(bytes(view[mid - d1 : mid]))
                         out[4].append(bytes(view[mid + inner : mid + length - d0]))
+                        out[5].append(None)
                 if len(out[0]) > 20_000:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, kind)], schema=kind)
-                    out = ([], [], [], [], [])
+                    out = ([], [], [], [], [], [])
             if out[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, kind)], schema=kind)
 
@@ -269,7 +344,7 @@ def _hot_masks(hot: DataFrame) -> DataFrame:
     return window.join(twice, "key").groupBy("core", "left", "right").agg(F.bit_or(F.expr("shiftleft(1L, d)")).alias("mask"))
 
 
-def removed_spans(rows: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
+def removed_spans(rows: DataFrame, length: int = LENGTH, hot: int = HOT, words: int = 0) -> DataFrame:
     """(key, n_bytes, n_removed, spans, kept) for rows of (__row, text).
 
     key is ``__row``; spans are the maximal removed runs of bytes, ends exclusive;
@@ -278,7 +353,13 @@ def removed_spans(rows: DataFrame, length: int = LENGTH, hot: int = HOT) -> Data
     repeated rows count as texts of their own, and strings are judged on the input.
     Null and empty texts and those shorter than ``length`` bytes stay as they are.
     An empty table gives an empty one.  ``length`` is at least 2 * WIDTH.
+
+    With ``words``, bytes of that many words in a row that stand in another text as
+    well go too, byte by byte the same from the first letter to the last.  Words are
+    runs of letters, digits and underscores.
     """
+    if 0 < words < WORD_GRAM:
+        raise ValueError(f"words must be {WORD_GRAM} or more")
     if length < 2 * WIDTH:
         raise ValueError(f"length must be {2 * WIDTH} or more")
     data = rows.select(F.col("__row").alias("row"), F.coalesce("text", F.lit("")).cast("binary").alias("data"))
@@ -289,8 +370,15 @@ def removed_spans(rows: DataFrame, length: int = LENGTH, hot: int = HOT) -> Data
     kinds = cut(kinds.join(grams, "gram").select(*x, "n", "rep", "kinds"))
     whole = marks.join(kinds.where("n > 1").select(*x), x, "left_semi").select("row", F.col("lo").alias("a"), F.col("hi").alias("b"), F.lit(None).cast("long").alias("mask"))
 
-    runs = kinds.where("kinds > 1").select("rep.row", F.struct("rep.lo", "rep.hi", "rep.place").alias("run")).groupBy("row").agg(F.collect_list("run").alias("runs"))
-    ranges = cut(data.join(runs, "row").select("row", "data", "runs").mapInArrow(_range_rows(length), "row long, mid long, core binary, left binary, right binary"))
+    runs = kinds.where("kinds > 1").select("rep.row", F.struct("rep.lo", "rep.hi", "rep.place").alias("run"))
+    across = [F.min("row").alias("least"), F.max("row").alias("most")]
+    if words:
+        passages = data.mapInArrow(_word_anchor_rows(words), "row long, a long, b long, gram long")
+        shared = passages.groupBy("gram").agg(*across).where("least < most").select("gram")
+        runs = runs.unionByName(passages.join(shared, "gram", "left_semi").select("row", F.struct(F.col("a").alias("lo"), F.col("b").alias("hi"), F.lit(None).cast("long").alias("place")).alias("run")))
+    runs = runs.groupBy("row").agg(F.collect_list("run").alias("runs"))
+    every_range = cut(data.join(runs, "row").select("row", "data", "runs").mapInArrow(_range_rows(length, words), "row long, mid long, core binary, left binary, right binary, stop long"))
+    ranges = every_range.where("stop is null").drop("stop")
     s = ["core", "left", "right"]
     strings = ranges.groupBy(*s).agg(F.count("*").alias("n"))
     cores = strings.groupBy("core").agg(F.count("*").alias("kinds"), F.sum("n").alias("t")).where("t > 1")
@@ -303,6 +391,10 @@ def removed_spans(rows: DataFrame, length: int = LENGTH, hot: int = HOT) -> Data
     masks = masks.groupBy(*s).agg(F.bit_or("mask").alias("mask")).where("mask <> 0")
     part = ranges.join(masks, s).select("row", F.col("mid").alias("a"), F.lit(None).cast("long").alias("b"), "mask")
 
+    if words:
+        windows = every_range.where("stop is not null").select("core", "row", F.col("mid").alias("a"), (F.col("stop") - length).alias("b"), F.lit(None).cast("long").alias("mask"))
+        shared = windows.groupBy("core").agg(*across).where("least < most").select("core")
+        part = part.unionByName(windows.join(shared, "core", "left_semi").drop("core"))
     every = whole.unionByName(part).groupBy("row").agg(F.collect_list(F.struct("a", "b", "mask")).alias("marks"))
     out = data.join(every, "row", "left").select("row", "data", "marks")
     return out.mapInArrow(_cut_rows(length), "key long, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary")
@@ -315,13 +407,13 @@ def digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length:
     return out.join(rows.select("__row", "doc_id"), "__row").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
-def without_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH) -> DataFrame:
+def without_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, words: int = 0) -> DataFrame:
     """``docs`` with the removed bytes gone from ``text``; all rows and columns stay.
 
     Bytes of a character that was cut in two go as well; a null text stays null.
     """
     rows = keyed(docs, text).toDF("__row", "text")
-    new = removed_spans(rows, length).where("n_removed > 0").select(F.col("key").alias("__row"), F.col("kept").alias("__kept"))
+    new = removed_spans(rows, length, words=words).where("n_removed > 0").select(F.col("key").alias("__row"), F.col("kept").alias("__kept"))
     new = new.mapInArrow(_decoded, "__row long, __text string")
     out = docs.withColumn("__row", F.monotonically_increasing_id()).join(new, "__row", "left")
     return out.withColumn(text, F.coalesce(F.col("__text"), F.col(text))).drop("__row", "__text")
