@@ -18,6 +18,8 @@ from .common import blocks, cut, remainder, slices
 PROFILE = 300
 MAX_LANGUAGES = 1000
 GAP, BITS = 95, 21
+#: Clean texts of every length score above SLACK of the QUANTILE of training scores, random letters and unknown scripts below.
+QUANTILE, SLACK, GRID, LEAST_TEXTS = 0.05, 0.7, 1000, 50
 _letters: np.ndarray | None = None
 
 
@@ -182,7 +184,39 @@ def predict_all(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lan
     return out.select("doc_id", (remainder("doc_id", modulus) == held).alias("held_out"), "lang_pred", "score")
 
 
+def least_scores(own: DataFrame) -> tuple[dict[str, float], float]:
+    """By language the least score of a text that counts as one of it, and the least score of other languages.
+
+    ``own`` are training texts (lang, lang_pred, score); those count whose prediction
+    is the language they are said to have.  The least score is SLACK of their
+    QUANTILE; a language of fewer than LEAST_TEXTS takes that of all together, which
+    is 0 where these are fewer too.
+    """
+    cells = own.where("lang = lang_pred").groupBy("lang", F.floor(F.col("score") * GRID).cast("long").alias("cell")).agg(F.count("*").alias("n"))
+    counts: dict[str, list] = {}
+    for r in cells.collect():  # at most MAX_LANGUAGES * (GRID + 1) rows
+        counts.setdefault(r["lang"], []).append((r["cell"], r["n"]))
+
+    def least(rows) -> float | None:
+        cell, n = np.array(sorted(rows), np.int64).reshape(-1, 2).T
+        if n.sum() < LEAST_TEXTS:
+            return None
+        return SLACK * float(cell[np.searchsorted(np.cumsum(n), n.sum() * QUANTILE)]) / GRID
+
+    each = {x: least(rows) for x, rows in counts.items()}
+    return {x: v for x, v in each.items() if v is not None}, least([r for rows in counts.values() for r in rows]) or 0.0
+
+
 def speaking(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", lang: str = "lang", modulus: int = 3, held: int = 1) -> DataFrame:
-    """The rows of ``docs`` whose language can be told, with their columns as they are; ``und`` rows go."""
-    model = learn(docs.where(remainder(doc_id, modulus) != held), text, lang)
-    return identify(docs, model, text, into=("__lang_pred", "__score")).where("__lang_pred <> 'und'").drop("__lang_pred", "__score")
+    """The rows of ``docs`` whose language can be told, with their columns as they are.
+
+    ``und`` rows go, and those whose score is below the least of the predicted
+    language, which are of no language learned.
+    """
+    taught = docs.where(remainder(doc_id, modulus) != held)
+    model = learn(taught, text, lang)
+    own = taught.select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang")).where("lang is not null and text is not null")
+    each, other = least_scores(identify(own, model, keep=["lang"]))
+    pairs = [F.lit(x) for pair in each.items() for x in pair]
+    least = F.coalesce(F.create_map(*pairs)[F.col("__lang_pred")], F.lit(other)) if pairs else F.lit(other)
+    return identify(docs, model, text, into=("__lang_pred", "__score")).where((F.col("__lang_pred") != "und") & (F.col("__score") >= least)).drop("__lang_pred", "__score")

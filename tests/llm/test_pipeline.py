@@ -78,3 +78,18 @@ def test_words_of_pieces_equal_those_of_the_whole():
             found.update(zip((byte[start[: len(start) - 50]] + x).tolist(), (byte[end[50:]] + x).tolist()))
         covers.append((found, set(gram.tolist())))
     assert covers[0] == covers[1] == covers[2] and len(covers[0][0]) > 2500
+
+
+def test_texts_of_no_language_learned_go(spark, tmp_path):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rand = random.Random(10)
+    gibberish = lambda n: " ".join("".join(rand.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rand.randint(2, 9))) for _ in range(n))
+    bad = [gibberish(n) for n in (20, 50, 100, 200, 400, 1000)] + ["Съешь же ещё этих мягких французских булок, да выпей чаю. " * n for n in (1, 5, 30)] + ["日本語の文章です。" * 20, "Ξεσκεπάζω την ψυχοφθόρα βδελυγμία " * 4]
+    clean = ["one two", "It was the best of times.", "Der Hund läuft durch den Wald.", "Le chat dort sur la table."]
+    more = [(10_000_000 + i, t, None, "src0", len(t)) for i, t in enumerate(bad + clean)]
+    docs.unionByName(spark.createDataFrame(more, docs.schema)).write.parquet(f"{tmp_path}/docs")
+    all_ = spark.read.parquet(f"{tmp_path}/docs")
+    left = {r.doc_id for r in corpus_pipeline.STAGES[0][1](spark, all_, "").select("doc_id").collect()}
+    assert not left & {10_000_000 + i for i in range(len(bad))}
+    assert left >= {10_000_000 + len(bad) + i for i in range(len(clean))}
+    assert left >= {r.doc_id for r in docs.select("doc_id").collect()}
