@@ -225,6 +225,13 @@ def test_quality(spark, edges, empty):
     assert all(r.keep for r in quality.judge(edges.where("text <> ''"), labels.limit(0)).collect())
 
 
+def test_quality_keeps_few_bad_documents(spark):
+    folder = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    rows = quality.judge(spark.read.parquet(f"{folder}/documents.parquet"), labels).join(labels, "doc_id").select("quality", "keep").collect()
+    assert np.mean([r.keep for r in rows if r.quality]) > 0.99 and np.mean([r.keep for r in rows if not r.quality]) < 0.1
+
+
 def test_model_is_a_distribution(spark):
     texts = spark.createDataFrame([(" ".join(words(20 + i, 50)),) for i in range(20)], "text string")
     table_, logs = quality.train(texts)
