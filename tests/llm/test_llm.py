@@ -347,6 +347,25 @@ def test_model_beats_counts_on_held_out(spark):
     assert sum(r.score for r in rows) > sum(r.base_score for r in rows)
 
 
+def test_model_is_trained_on_all_tokens(spark, tmp_path):
+    r = np.random.default_rng(6)
+    units = [r.integers(0, 100, 270).astype(np.uint16) for _ in range(4500)] + [r.integers(0, 100, 5000).astype(np.uint16)]
+    rows = [(i, i % 5 != 1, x.tobytes()) for i, x in enumerate(units)]
+    spark.createDataFrame(rows, "__row long, learn boolean, units binary").write.parquet(f"{tmp_path}/coded")
+    learnt = np.concatenate([x for i, x in enumerate(units) if i % 5 != 1])
+    _, seen = language_model.train(spark.read.parquet(f"{tmp_path}/coded"), np.bincount(learnt, minlength=language_model.CLASSES))
+    assert seen == language_model.PASSES * len(learnt)
+
+
+def test_word_within_class_follows_history():
+    counts = np.zeros(language_model.CLASSES)
+    counts[[3, 4, language_model.END_UNIT]] = 4000, 4000, 100  # two units of one class, as frequent
+    m = language_model.Gru(counts=counts)
+    m.fit([[np.array([3, 4] * 40) for _ in range(20)]] * 20)
+    turns, same = m.score([np.array([3, 4] * 20), np.array([3, 3, 4, 4] * 10)])
+    assert turns > same + 20
+
+
 # --- 8 packing ------------------------------------------------------------------------------------------
 
 def test_packing(edges, edge_rows, empty):
