@@ -23,7 +23,7 @@ Grams and cores are compared by 64 and 128 bits of hash, the rest byte by byte.
 
 Passages of some number of words that repeat across texts, however few bytes they
 have, are found in the same way: every window of that many words names its smallest
-gram of 8 words, and the windows of grams that stand in two texts are compared.
+gram of 24 words, and the windows of grams that stand in two texts are compared.
 """
 
 from __future__ import annotations
@@ -40,7 +40,7 @@ from .near_dup import _powers, mix
 LENGTH, GRAM, WIDTH = 400, 32, 32
 PIECE, PLACE_BITS = 1 << 23, 24
 HOT, SHARD, MERGE = 20_000, 5_000, 20_000
-WORD_GRAM, WORD_PIECE = 8, 1 << 20
+WORD_GRAM, WORD_PIECE = 24, 1 << 20
 U = np.uint64
 TABLE = np.random.Generator(np.random.PCG64(7)).integers(0, 1 << 63, 256, dtype=np.uint64) * U(2) + U(1)
 
