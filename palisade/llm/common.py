@@ -91,23 +91,78 @@ def remainder(column: str, modulus: int):
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % modulus
 
 
+#: White space of ASCII, which ends a word under every rule of words here.
+SPACES = frozenset(" \t\n\v\f\r")
+
+
 def blocks(text: str, size: int = 1 << 20):
-    """Cut a long text before white space into pieces of about ``size`` characters, losing nothing."""
+    """Cut a long text before ASCII white space into pieces of about ``size`` characters, losing nothing."""
     at, n = 0, len(text)
     while n - at > size:
         end = at + size
-        while end < n and not text[end].isspace():
+        while end < n and text[end] not in SPACES:
             end += 1
         yield text[at:end]
         at = end
     yield text[at:]
 
 
+#: Rows and bytes of the batches that go to Python workers, unless the session sets less.
+BATCH_ROWS, BATCH_BYTES = 2_000, 8 << 20
+
+
 def steady(spark: SparkSession) -> None:
-    """Pin how files are split, so that row numbers stay the same if executors come or go between two reads."""
+    """Pin how files are split, so that row numbers stay the same if executors come or go between two reads, and bound batches by bytes."""
     name = "spark.sql.files.minPartitionNum"
     if spark.conf.get(name, None) is None:
         spark.conf.set(name, str(max(1, spark.sparkContext.defaultParallelism)))
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(name, str(min(BATCH_ROWS, int(spark.conf.get(name, "10000")) or BATCH_ROWS)))
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) in (None, "", "-1", "-1b", "9223372036854775807", "9223372036854775807b"):
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, with underscores at its end if ``df`` has such a column already."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+#: Rows of the table of row numbers, 64 numbers to a row, up to which it is broadcast.
+BITMAP_ROWS = 1 << 20
+
+
+class Rows:
+    """A set of row numbers, to split a table by without moving it.
+
+    The numbers become bitmaps of 64 rows each; ``among`` and ``apart`` broadcast
+    these as long as they are BITMAP_ROWS at most (some 40 MB, over 64 million rows
+    where they lie close), and join by shuffles beyond.
+    """
+
+    def __init__(self, numbers: DataFrame, name: str):
+        bits = numbers.select(F.shiftright(name, 6).alias("high"), F.expr(f"shiftleft(1L, cast(`{name}` & 63 as int))").alias("bits"))
+        self.bits = cut(bits.groupBy("high").agg(F.bit_or("bits").alias("bits")))
+        self.small = self.bits.count() <= BITMAP_ROWS
+
+    def _met(self, df: DataFrame, name: str):
+        high, bits = fresh(df, "__high"), fresh(df, "__bits")
+        table = self.bits.toDF(high, bits)
+        met = df.withColumn(high, F.shiftright(name, 6)).join(F.broadcast(table) if self.small else table, high, "left")
+        inside = F.coalesce(F.expr(f"shiftright(`{bits}`, cast(`{name}` & 63 as int)) & 1"), F.lit(0)) == 1
+        return met, inside, (high, bits)
+
+    def among(self, df: DataFrame, name: str) -> DataFrame:
+        """Rows of ``df`` whose number in column ``name`` is in the set."""
+        met, inside, gone = self._met(df, name)
+        return met.where(inside).drop(*gone)
+
+    def apart(self, df: DataFrame, name: str) -> DataFrame:
+        """Rows of ``df`` whose number in column ``name`` isn't in the set."""
+        met, inside, gone = self._met(df, name)
+        return met.where(~inside).drop(*gone)
 
 
 def slices(batches, rows: int = 512):

@@ -320,26 +320,58 @@ def test_gradient_and_carried_state():
     for k in m.NAMES:
         setattr(m, k, getattr(m, k).astype(np.float64))
     r = np.random.default_rng(4)
-    tokens, live = r.integers(0, language_model.CLASSES, (3, 7)), np.ones((3, 7))
-    live[2, 5:] = 0
+    units, live, start = r.integers(0, language_model.CLASSES, (3, 6)), np.ones((3, 6), bool), np.zeros((3, 6), bool)
+    live[2, 4:], start[0, 0], start[1, 3] = False, True, True
+    before = np.concatenate((r.integers(0, language_model.CLASSES, (3, 1)), units[:, :-1]), axis=1)
+    before[start] = language_model.CLASSES
     h = r.normal(size=(3, language_model.HIDDEN)) * 0.1
-    _, _, grads = m.window(h, tokens, live)
+    _, _, grads = m.window(h, before, units, start, live)
     for k in m.NAMES:
         w = getattr(m, k)
         at = np.unravel_index(np.argmax(np.abs(grads[k])), w.shape)
         w[at] += 1e-5
-        up = m.window(h, tokens, live)[1]
+        up = m.window(h, before, units, start, live)[1]
         w[at] -= 2e-5
-        down = m.window(h, tokens, live)[1]
+        down = m.window(h, before, units, start, live)[1]
         w[at] += 1e-5
         assert grads[k][at] == pytest.approx((up - down) / 2e-5, rel=1e-4)
-    texts = [r.integers(0, language_model.CLASSES, n) for n in (1, 50, 7)]
-    whole = m.score(texts)
-    assert whole == pytest.approx([m.score([t])[0] for t in texts], rel=1e-4)
-    start = np.zeros((1, language_model.HIDDEN))
-    h, a, _ = m.window(start, np.concatenate(([language_model.CLASSES], texts[1][:20]))[None], np.ones((1, 21)))
-    _, b, _ = m.window(h, texts[1][None, 19:], np.ones((1, 31)))
-    assert -(a + b) == pytest.approx(whole[1], rel=1e-4)
+
+
+def likelihood(m, text):
+    """Token by token, without lanes and batches."""
+    sigmoid, total, h, last = lambda v: 1 / (1 + np.exp(-v)), 0.0, np.zeros(language_model.HIDDEN), language_model.CLASSES
+    share = lambda s, i: s[i] - np.log(np.exp(s).sum())
+    for unit in text:
+        (az, ar, an), (gz, gr, gn) = np.split(m.x[last] + m.b, 3), np.split(h @ m.u, 3)
+        z, n = sigmoid(az + gz), np.tanh(an + sigmoid(ar + gr) * gn)
+        h = (1 - z) * h + z * n
+        k = unit // language_model.SIDE
+        total += share(h @ m.v + m.c, k) + share(h @ m.w[k] + m.d[k], unit % language_model.SIDE)
+        last = unit
+    return total
+
+
+def test_scores_equal_token_by_token():
+    m, r = language_model.Gru(5), np.random.default_rng(2)
+    texts = [r.integers(0, language_model.CLASSES, n) for n in [1, 50, 7, 1300, 512, 513, 1] * 60]
+    got = dict(m.score(texts))
+    assert sorted(got) == list(range(len(texts)))
+    for i in list(range(14)) + [200, 419]:
+        assert got[i] == pytest.approx(likelihood(m, texts[i]), rel=1e-4)
+
+
+def test_lanes_hold_every_token_once():
+    r = np.random.default_rng(3)
+    texts = [r.integers(0, 9, n) for n in r.integers(1, 40, 60)]
+    found, carried = {}, {}
+    for rows, before, units, start, number in language_model.laid(texts, lanes=4, span=16):
+        for k, row in enumerate(rows):
+            for b, u, s, n in zip(before[k], units[k], start[k], number[k]):
+                if n >= 0:
+                    assert s == (n not in found) and b == (language_model.CLASSES if s else carried[row])
+                    found.setdefault(int(n), []).append(u)
+                    carried[row] = u
+    assert [found[i] for i in range(60)] == [t.tolist() for t in texts]
 
 
 def test_model_beats_counts_on_held_out(spark):
@@ -350,8 +382,8 @@ def test_model_beats_counts_on_held_out(spark):
 def test_model_is_trained_on_all_tokens(spark, tmp_path):
     r = np.random.default_rng(6)
     units = [r.integers(0, 100, 270).astype(np.uint16) for _ in range(4500)] + [r.integers(0, 100, 5000).astype(np.uint16)]
-    rows = [(i, i % 5 != 1, x.tobytes()) for i, x in enumerate(units)]
-    spark.createDataFrame(rows, "__row long, learn boolean, units binary").write.parquet(f"{tmp_path}/coded")
+    rows = [(i, i % 5 != 1, len(x), x.tobytes()) for i, x in enumerate(units)]
+    spark.createDataFrame(rows, "__row long, learn boolean, n_tokens long, units binary").write.parquet(f"{tmp_path}/coded")
     learnt = np.concatenate([x for i, x in enumerate(units) if i % 5 != 1])
     _, seen = language_model.train(spark.read.parquet(f"{tmp_path}/coded"), np.bincount(learnt, minlength=language_model.CLASSES))
     assert seen == language_model.PASSES * len(learnt)
@@ -361,8 +393,8 @@ def test_word_within_class_follows_history():
     counts = np.zeros(language_model.CLASSES)
     counts[[3, 4, language_model.END_UNIT]] = 4000, 4000, 100  # two units of one class, as frequent
     m = language_model.Gru(counts=counts)
-    m.fit([[np.array([3, 4] * 40) for _ in range(20)]] * 20)
-    turns, same = m.score([np.array([3, 4] * 20), np.array([3, 3, 4, 4] * 10)])
+    m.fit([np.array([3, 4] * 40)] * 5000)
+    turns, same = (v for _, v in sorted(m.score([np.array([3, 4] * 20), np.array([3, 3, 4, 4] * 10)])))
     assert turns > same + 20
 
 
