@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, cut, keyed, slices
+from .common import Rows, blocks, cut, fresh, keyed, slices, steady
 from .components import components
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -279,8 +279,7 @@ def classes(rows: DataFrame, least: float = SIMILARITY) -> DataFrame:
     bucket = signed.join(member.where("__row = rep").select("__row"), "__row", "left_semi").select(F.col("__row").alias("rep"), F.posexplode("bands").alias("band", "key"))
     full = bucket.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     bucket = cut(bucket.join(full, "key").select("key", "band", "rep"))
-    needed = bucket.select(F.col("rep").alias("__row")).distinct()
-    sets = cut(rows.select("__row", "text").join(needed, "__row", "left_semi").mapInArrow(_units, "row long, units binary"))
+    sets = cut(Rows(bucket.select("rep"), "rep").among(rows.select("__row", "text"), "__row").mapInArrow(_units, "row long, units binary"))
 
     comp = bucket.select("rep", F.col("rep").alias("comp")).distinct()
     now = bucket.where(F.col("band") < HUB_BANDS)
@@ -295,8 +294,10 @@ def classes(rows: DataFrame, least: float = SIMILARITY) -> DataFrame:
 
 def deduplicate(docs: DataFrame, text: str = "text", least: float = SIMILARITY) -> DataFrame:
     """The first row of each class of ``classes``, with all columns of ``docs`` as they are."""
-    kept = classes(keyed(docs, text).toDF("__row", "text"), least).where("__row = cls").select("__row")
-    return docs.withColumn("__row", F.monotonically_increasing_id()).join(kept, "__row", "left_semi").drop("__row")
+    found = cut(classes(keyed(docs, text).toDF("__row", "text"), least))
+    steady(docs.sparkSession)
+    row = fresh(docs, "__row")
+    return Rows(found.where("__row <> cls").select("__row"), "__row").apart(docs.withColumn(row, F.monotonically_increasing_id()), row).drop(row)
 
 
 def class_of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = SIMILARITY) -> DataFrame:
