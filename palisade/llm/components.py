@@ -20,7 +20,8 @@ def components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     stars.  Each round is one minimum per node (summed up map-side) and one
     join, so a hub with a third of all links costs no task more than its share
     of a split join.  Self links and repeated links are allowed; an empty table
-    gives an empty one.
+    gives an empty one.  Links that aren't settled after ``max_rounds``, which is far
+    beyond the logarithm of any table's size, raise an error.
     """
     edges = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = None
@@ -36,5 +37,8 @@ def components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
         edges = cut(small.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
+    else:
+        if _state(edges) != before:
+            raise RuntimeError(f"components not settled after {max_rounds} rounds")
     stars = edges.select(F.col("a").alias("node"), F.col("b").alias("comp"))
     return stars.unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("comp"))).groupBy("node").agg(F.min("comp").alias("comp"))
