@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, keyed, slices
+from .common import Rows, cut, fresh, keyed, slices, steady
 from .near_dup import _powers, mix
 
 LENGTH, GRAM, WIDTH = 400, 32, 32
@@ -78,28 +78,6 @@ def anchors(b: np.ndarray, length: int = LENGTH):
     return [np.concatenate(x) for x in zip(*found)] if found else [np.empty(0, np.int64)] * 4
 
 
-def _anchor_rows(length: int):
-    names = ["row", "lo", "hi", "place", "gram", "xa", "xb"]
-
-    def run(batches):
-        for batch in slices(batches):
-            parts = []
-            for row, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if data is None or len(data) < length:
-                    continue
-                lo, hi, place, gram = anchors(np.frombuffer(data, np.uint8), length)
-                view, end = memoryview(data), (hi + length).tolist()
-                x = np.frombuffer(b"".join([xxhash.xxh3_128_digest(view[a:e]) for a, e in zip(lo.tolist(), end)]), np.int64).reshape(-1, 2)
-                parts.append((np.full(len(lo), row, np.int64), lo, hi, place, gram, x[:, 0], x[:, 1]))
-                if sum(len(p[0]) for p in parts[-1:]) > 100_000 or len(parts) >= 2000:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts)], names)
-                    parts = []
-            if parts:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts)], names)
-
-    return run
-
-
 _wordy: np.ndarray | None = None
 
 
@@ -144,16 +122,33 @@ def word_anchors(data: bytes, least: int, piece: int = WORD_PIECE):
     return [np.concatenate(x) for x in zip(*found)] if found else [np.empty(0, np.int64)] * 3
 
 
-def _word_anchor_rows(least: int):
-    names = ["row", "a", "b", "gram"]
+def _anchor_rows(length: int, words: int):
+    """Runs of the windows of ``length`` bytes (even grams) and, without a place, of those of ``words`` words (odd grams), with a hash of each run's bytes."""
+    names = ["row", "lo", "hi", "place", "gram", "x"]
 
     def run(batches):
+        held, many = [], 0
         for batch in slices(batches):
-            parts = [(np.empty(0, np.int64),) * 4]
             for row, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                a, b, gram = word_anchors(data or b"", least)
-                parts.append((np.full(len(a), row, np.int64), a, b, gram))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts)], names)
+                data = data or b""
+                view = memoryview(data)
+                found = []
+                if len(data) >= length:
+                    lo, hi, place, gram = anchors(np.frombuffer(data, np.uint8), length)
+                    found.append((lo, hi, hi + length, place, gram & ~1))
+                if words:
+                    lo, hi, gram = word_anchors(data, words)
+                    found.append((lo, hi, hi, None, gram | 1))
+                for lo, hi, end, place, gram in found:
+                    x = np.array([xxhash.xxh3_64_intdigest(view[a:e]) for a, e in zip(lo.tolist(), end.tolist())], U).view(np.int64)
+                    place = pa.array(place) if place is not None else pa.nulls(len(lo), pa.int64())
+                    held.append([pa.array(np.full(len(lo), row, np.int64)), pa.array(lo), pa.array(hi), place, pa.array(gram), pa.array(x)])
+                    many += len(lo)
+                if many > 50_000:
+                    yield pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in zip(*held)], names)
+                    held, many = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in zip(*held)], names)
 
     return run
 
@@ -223,12 +218,11 @@ def shard_bwt(text: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return order, text[order - 1]
 
 
-def merge(bwts: list[np.ndarray], rounds: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Interleave of the shards' transforms in the order of ``rounds`` symbols, block numbers, and common prefixes.
+def merge(bwts: list[np.ndarray], rounds: int) -> tuple[np.ndarray, np.ndarray]:
+    """Interleave of the shards' transforms in the order of ``rounds`` symbols, and common prefixes.
 
-    Returns the shard of each merged entry, the block of entries that share their
-    first ``rounds`` symbols, and the length of the prefix each entry shares with
-    the one before (``rounds`` if that many or more).  Ends never share.
+    Returns the shard of each merged entry and the length of the prefix each entry
+    shares with the one before (``rounds`` if that many or more).  Ends never share.
     """
     sizes = [len(b) for b in bwts]
     every = np.concatenate(bwts)
@@ -253,29 +247,36 @@ def merge(bwts: list[np.ndarray], rounds: int) -> tuple[np.ndarray, np.ndarray,
         shared[new & (shared == rounds)] = t
         shard, split = shard[order], new
     shared[0] = 0
-    return shard, np.cumsum(split), shared
+    return shard, shared
 
 
-def repeated_masks(strings: list[tuple[int, bytes, bytes]], shard_size: int = SHARD) -> list[int]:
-    """For strings (core, left, right): bit d is set if the window with d bytes of left is in another place too."""
+def repeated_masks(strings: list[tuple], shard_size: int = SHARD) -> list[int]:
+    """For distinct strings (core, left, right, times): bit d is set if the window with d bytes of left is in another place too.
+
+    That is so where the window's suffix shares WIDTH symbols with a neighbour in the
+    merged order, or where its string occurs more than once.
+    """
     made, cores = [], {}
     for i in range(0, len(strings), shard_size):
         part = strings[i : i + shard_size]
-        sizes = np.array([len(a) + len(b) + 2 for _, a, b in part])
+        sizes = np.array([len(x[1]) + len(x[2]) + 2 for x in part])
         ends = np.cumsum(sizes) - 1
-        text = np.frombuffer(b"".join(a + b"\0" + b + b"\0" for _, a, b in part), np.uint8).astype(np.uint16) + 1
+        text = np.frombuffer(b"".join(x[1] + b"\0" + x[2] + b"\0" for x in part), np.uint8).astype(np.uint16) + 1
         starts = ends + 1 - sizes
-        text[starts + np.array([len(a) for _, a, _ in part])] = [258 + cores.setdefault(c, len(cores)) for c, _, _ in part]
+        text[starts + np.array([len(x[1]) for x in part])] = [258 + cores.setdefault(x[0], len(cores)) for x in part]
         text[ends] = 0
         order, bwt = shard_bwt(text, ends)
         owner = np.searchsorted(ends, order)
         made.append((bwt, owner + i, order - starts[owner]))
-    shard, block, shared = merge([m[0] for m in made], WIDTH)
-    size = np.bincount(block)
-    again = size[block] > 1
+    shard, shared = merge([m[0] for m in made], WIDTH)
+    near = shared >= WIDTH
+    again = near | np.append(near[1:], False)
+    left, right = (np.array([len(x[k]) for x in strings]) for k in (1, 2))
+    often = np.array([x[3] > 1 for x in strings])
     masks = [0] * len(strings)
     for k, (_, owner, offset) in enumerate(made):
-        hit = again[shard == k]
+        window = (offset <= left[owner]) & (offset + WIDTH <= left[owner] + right[owner] + 1)
+        hit = (again[shard == k] | often[owner]) & window
         for o, f in zip(owner[hit].tolist(), offset[hit].tolist()):
             masks[o] |= 1 << (len(strings[o][1]) - f)
     return masks
@@ -283,14 +284,14 @@ def repeated_masks(strings: list[tuple[int, bytes, bytes]], shard_size: int = SH
 
 def _mask_rows(batches):
     """Groups of one core come together; merges as many whole groups as fit."""
-    held: list[tuple[bytes, bytes, bytes]] = []
+    held: list[tuple] = []
 
     def flush(part):
-        masks = repeated_masks(part)
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*part)] + [pa.array(masks, pa.int64())], ["core", "left", "right", "mask"])
+        core, left, right, _ = zip(*part)
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in (core, left, right)] + [pa.array(repeated_masks(part), pa.int64())], ["core", "left", "right", "mask"])
 
     for batch in slices(batches):
-        for x in zip(*(batch.column(i).to_pylist() for i in range(3))):
+        for x in zip(*(batch.column(i).to_pylist() for i in range(4))):
             if len(held) >= MERGE and held[-1][0] != x[0]:
                 yield flush(held)
                 held = []
@@ -306,7 +307,7 @@ def _cut_rows(length: int):
         ranges = []
         for m in marks or ():
             if m["mask"] is None:
-                ranges.append((m["a"], m["b"] + length))
+                ranges.append((m["a"], m["b"]))
             else:
                 ranges += [(m["a"] - d, m["a"] - d + length) for d in range(WIDTH) if m["mask"] >> d & 1]
         out = []
@@ -340,10 +341,61 @@ def _hot_masks(hot: DataFrame) -> DataFrame:
     least, most = F.lit(WIDTH - 1) - F.length("right"), F.length("left")
     window = hot.withColumn("d", F.explode(F.sequence(least, most)))
     window = window.withColumn("key", F.struct("core", "d", F.expr("substring(left, length(left) - d + 1, d)").alias("l"), F.expr(f"substring(right, 1, {WIDTH - 1} - d)").alias("r")))
-    twice = window.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    twice = window.groupBy("key").agg(F.sum("n").alias("times")).where("times > 1").select("key")
     return window.join(twice, "key").groupBy("core", "left", "right").agg(F.bit_or(F.expr("shiftleft(1L, d)")).alias("mask"))
 
 
+def touched(rows: DataFrame, length: int = LENGTH, hot: int = HOT, words: int = 0) -> tuple[DataFrame, Rows]:
+    """``removed_spans`` of the rows that lose a byte, and their row numbers."""
+    if 0 < words < WORD_GRAM:
+        raise ValueError(f"words must be {WORD_GRAM} or more")
+    if length < 2 * WIDTH:
+        raise ValueError(f"length must be {2 * WIDTH} or more")
+    data = rows.select(F.col("__row").alias("row"), F.coalesce("text", F.lit("")).cast("binary").alias("data"))
+    marks = cut(data.mapInArrow(_anchor_rows(length, words), "row long, lo long, hi long, place long, gram long, x long"))
+    # copies of a run are folded: by gram and run, then by gram
+    kinds = marks.groupBy("gram", "x").agg(F.count("*").alias("n"), *[f(F.struct("row", "lo", "hi", "place")).alias(x) for f, x in ((F.min, "rep"), (F.max, "top"))])
+    grams = kinds.groupBy("gram").agg(F.sum("n").alias("t"), F.count("*").alias("kinds"), F.min("rep.row").alias("first"), F.max("top.row").alias("last"))
+    grams = grams.where("gram & 1 = 0 and t > 1 or gram & 1 = 1 and first < last").select("gram", "kinds")
+    wordy = F.expr("gram & 1 = 1")
+    again = F.when(wordy, F.col("rep.row") < F.col("top.row")).otherwise(F.col("n") > 1)
+    kinds = cut(kinds.join(grams, "gram").select("gram", "x", "rep", "top", "kinds", again.alias("again"), wordy.alias("wordy")))
+    # runs that occur again as a whole, and runs of words of which a part may
+    met = marks.join(kinds.where("again or wordy").select("gram", "x", "again"), ["gram", "x"])
+    met = cut(met.select("row", "lo", "hi", "place", "again")) if words else met
+    end = F.when(F.col("place").isNull(), F.col("hi")).otherwise(F.col("hi") + length)
+    none = F.lit(None).cast("long")
+    whole = met.where("again").select("row", F.col("lo").alias("a"), end.alias("b"), none.alias("mask"))
+
+    runs = kinds.where("kinds > 1 and not wordy").select("rep.row", F.struct("rep.lo", "rep.hi", "rep.place").alias("run"))
+    if words:  # copies of a run in two texts stand for all of them
+        runs = runs.unionByName(met.where("not again").select("row", F.struct("lo", "hi", "place").alias("run")))
+        ends = kinds.where("kinds > 1 and wordy and again").select(F.explode(F.array("rep", "top")).alias("rep"))
+        runs = runs.unionByName(ends.select("rep.row", F.struct("rep.lo", "rep.hi", "rep.place").alias("run")))
+    runs = cut(runs.groupBy("row").agg(F.collect_list("run").alias("runs")))
+    every_range = cut(Rows(runs, "row").among(data, "row").join(runs, "row").select("row", "data", "runs").mapInArrow(_range_rows(length, words), "row long, mid long, core binary, left binary, right binary, stop long"))
+    ranges = every_range.where("stop is null").drop("stop")
+    s = ["core", "left", "right"]
+    strings = ranges.groupBy(*s).agg(F.count("*").alias("n"))
+    cores = strings.groupBy("core").agg(F.count("*").alias("kinds"), F.sum("n").alias("t")).where("t > 1")
+    strings = cut(strings.join(cores.drop("t"), "core"))
+    merged = strings.where(f"kinds <= {hot}").select(*s, "n")
+    merged = merged.repartition("core").sortWithinPartitions("core").mapInArrow(_mask_rows, "core binary, left binary, right binary, mask long")
+    masks = merged.unionByName(_hot_masks(strings.where(f"kinds > {hot}").select(*s, "n"))).where("mask <> 0")
+    part = ranges.join(masks, s).select("row", F.col("mid").alias("a"), none.alias("b"), "mask")
+    if words:
+        windows = every_range.where("stop is not null").select("core", "row", F.col("mid").alias("a"), F.col("stop").alias("b"), none.alias("mask"))
+        shared = windows.groupBy("core").agg(F.min("row").alias("first"), F.max("row").alias("last")).where("first < last").select("core")
+        part = part.unionByName(windows.join(shared, "core", "left_semi").drop("core"))
+    every = cut(whole.unionByName(part).groupBy("row").agg(F.collect_list(F.struct("a", "b", "mask")).alias("marks")))
+    numbers = Rows(every, "row")
+    out = numbers.among(data, "row").join(every, "row").select("row", "data", "marks")
+    return out.mapInArrow(_cut_rows(length), SPANS), numbers
+
+
+SPANS = "key long, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary"
+
+
 def removed_spans(rows: DataFrame, length: int = LENGTH, hot: int = HOT, words: int = 0) -> DataFrame:
     """(key, n_bytes, n_removed, spans, kept) for rows of (__row, text).
 
@@ -357,66 +409,39 @@ def removed_spans(rows: DataFrame, length: int = LENGTH, hot: int = HOT, words:
     With ``words``, bytes of that many words in a row that stand in another text as
     well go too, byte by byte the same from the first letter to the last.  Words are
     runs of letters, digits and underscores.
-    """
-    if 0 < words < WORD_GRAM:
-        raise ValueError(f"words must be {WORD_GRAM} or more")
-    if length < 2 * WIDTH:
-        raise ValueError(f"length must be {2 * WIDTH} or more")
-    data = rows.select(F.col("__row").alias("row"), F.coalesce("text", F.lit("")).cast("binary").alias("data"))
-    marks = cut(data.mapInArrow(_anchor_rows(length), "row long, lo long, hi long, place long, gram long, xa long, xb long"))
-    x = ["gram", "xa", "xb"]
-    kinds = marks.groupBy(*x).agg(F.count("*").alias("n"), F.min(F.struct("row", "lo", "hi", "place")).alias("rep"))
-    grams = kinds.groupBy("gram").agg(F.sum("n").alias("t"), F.count("*").alias("kinds")).where("t > 1")
-    kinds = cut(kinds.join(grams, "gram").select(*x, "n", "rep", "kinds"))
-    whole = marks.join(kinds.where("n > 1").select(*x), x, "left_semi").select("row", F.col("lo").alias("a"), F.col("hi").alias("b"), F.lit(None).cast("long").alias("mask"))
-
-    runs = kinds.where("kinds > 1").select("rep.row", F.struct("rep.lo", "rep.hi", "rep.place").alias("run"))
-    across = [F.min("row").alias("least"), F.max("row").alias("most")]
-    if words:
-        passages = data.mapInArrow(_word_anchor_rows(words), "row long, a long, b long, gram long")
-        shared = passages.groupBy("gram").agg(*across).where("least < most").select("gram")
-        runs = runs.unionByName(passages.join(shared, "gram", "left_semi").select("row", F.struct(F.col("a").alias("lo"), F.col("b").alias("hi"), F.lit(None).cast("long").alias("place")).alias("run")))
-    runs = runs.groupBy("row").agg(F.collect_list("run").alias("runs"))
-    every_range = cut(data.join(runs, "row").select("row", "data", "runs").mapInArrow(_range_rows(length, words), "row long, mid long, core binary, left binary, right binary, stop long"))
-    ranges = every_range.where("stop is null").drop("stop")
-    s = ["core", "left", "right"]
-    strings = ranges.groupBy(*s).agg(F.count("*").alias("n"))
-    cores = strings.groupBy("core").agg(F.count("*").alias("kinds"), F.sum("n").alias("t")).where("t > 1")
-    strings = cut(strings.join(cores, "core"))
-    own = F.expr(f"shiftleft(1L, length(left) + 1) - shiftleft(1L, {WIDTH - 1} - length(right))")
-    equal = strings.where("n > 1").select(*s, own.alias("mask"))
-    merged = strings.where(f"kinds between 2 and {hot}").select(*s)
-    merged = merged.repartition("core").sortWithinPartitions("core").mapInArrow(_mask_rows, "core binary, left binary, right binary, mask long")
-    masks = equal.unionByName(merged).unionByName(_hot_masks(strings.where(f"kinds > {hot}").select(*s)))
-    masks = masks.groupBy(*s).agg(F.bit_or("mask").alias("mask")).where("mask <> 0")
-    part = ranges.join(masks, s).select("row", F.col("mid").alias("a"), F.lit(None).cast("long").alias("b"), "mask")
 
-    if words:
-        windows = every_range.where("stop is not null").select("core", "row", F.col("mid").alias("a"), (F.col("stop") - length).alias("b"), F.lit(None).cast("long").alias("mask"))
-        shared = windows.groupBy("core").agg(*across).where("least < most").select("core")
-        part = part.unionByName(windows.join(shared, "core", "left_semi").drop("core"))
-    every = whole.unionByName(part).groupBy("row").agg(F.collect_list(F.struct("a", "b", "mask")).alias("marks"))
-    out = data.join(every, "row", "left").select("row", "data", "marks")
-    return out.mapInArrow(_cut_rows(length), "key long, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary")
+    Cores with more than ``hot`` distinct strings, which no single merge should hold,
+    are counted window by window instead, with the same result.
+    """
+    found, numbers = touched(rows, length, hot, words)
+    data = F.coalesce("text", F.lit("")).cast("binary")
+    rest = numbers.apart(rows, "__row").select(F.col("__row").alias("key"), F.octet_length(data).cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.expr("cast(array() as array<struct<start:bigint,end:bigint>>)").alias("spans"), data.alias("kept"))
+    return found.unionByName(rest)
 
 
 def digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every row."""
     rows = keyed(docs, doc_id, text).toDF("__row", "doc_id", "text")
-    out = removed_spans(rows.select("__row", "text"), length).select(F.col("key").alias("__row"), "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
-    return out.join(rows.select("__row", "doc_id"), "__row").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    found = cut(touched(rows.select("__row", "text"), length)[0].select(F.col("key").alias("__row"), "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")))
+    data = F.coalesce("text", F.lit("")).cast("binary")
+    rest = Rows(found, "__row").apart(rows, "__row").select("doc_id", F.octet_length(data).cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2(data, 256).alias("kept_sha256"))
+    ids = rows.select("__row", "doc_id", F.octet_length(data).cast("long").alias("n_bytes"))
+    return rest.unionByName(ids.join(found, "__row").drop("__row"))
 
 
 def without_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, words: int = 0) -> DataFrame:
     """``docs`` with the removed bytes gone from ``text``; all rows and columns stay.
 
     Bytes of a character that was cut in two go as well; a null text stays null.
+    Columns of any name may be there.
     """
-    rows = keyed(docs, text).toDF("__row", "text")
-    new = removed_spans(rows, length, words=words).where("n_removed > 0").select(F.col("key").alias("__row"), F.col("kept").alias("__kept"))
-    new = new.mapInArrow(_decoded, "__row long, __text string")
-    out = docs.withColumn("__row", F.monotonically_increasing_id()).join(new, "__row", "left")
-    return out.withColumn(text, F.coalesce(F.col("__text"), F.col(text))).drop("__row", "__text")
+    steady(docs.sparkSession)
+    row, new = fresh(docs, "__row"), fresh(docs, "__text")
+    found, numbers = touched(keyed(docs, text).toDF("__row", "text"), length, words=words)
+    found = found.select(F.col("key").alias("__row"), F.col("kept").alias("__kept")).mapInArrow(_decoded, "__row long, __text string").toDF(row, new)
+    numbered = docs.withColumn(row, F.monotonically_increasing_id())
+    cut_ = numbers.among(numbered, row).drop(text).join(found, row).withColumnRenamed(new, text).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return numbers.apart(numbered, row).select(*[F.col(f"`{c}`") for c in docs.columns]).unionByName(cut_)
 
 
 def _decoded(batches):
