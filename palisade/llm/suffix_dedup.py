@@ -300,9 +300,15 @@ def _mask_rows(batches):
         yield flush(held)
 
 
-def _cut_rows(length: int):
+def _cut_rows(length: int, decoded: bool = False):
+    """Texts without the runs that are marked; with ``decoded`` (row, text), where bytes of a character that was cut in two go as well."""
     kind = pa.schema([("key", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("kept", pa.binary())])
 
+    def table(rows):
+        if decoded:
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[4].decode("utf-8", "ignore") for r in rows], pa.string())], ["row", "text"])
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), kind)], schema=kind)
+
     def spans(marks):
         ranges = []
         for m in marks or ():
@@ -328,10 +334,10 @@ def _cut_rows(length: int):
                 rows.append((row, len(data), len(data) - len(kept), [{"start": a, "end": b} for a, b in gone], kept))
                 held += len(kept)
                 if held > 8_000_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), kind)], schema=kind)
+                    yield table(rows)
                     rows, held = [], 0
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), kind)], schema=kind)
+                yield table(rows)
 
     return run
 
@@ -345,18 +351,20 @@ def _hot_masks(hot: DataFrame) -> DataFrame:
     return window.join(twice, "key").groupBy("core", "left", "right").agg(F.bit_or(F.expr("shiftleft(1L, d)")).alias("mask"))
 
 
-def touched(rows: DataFrame, length: int = LENGTH, hot: int = HOT, words: int = 0) -> tuple[DataFrame, Rows]:
-    """``removed_spans`` of the rows that lose a byte, and their row numbers."""
+def touched(rows: DataFrame, length: int = LENGTH, hot: int = HOT, words: int = 0, decoded: bool = False) -> tuple[DataFrame, Rows]:
+    """``removed_spans`` (with ``decoded`` row and text) of the rows that lose a byte, and their row numbers."""
     if 0 < words < WORD_GRAM:
         raise ValueError(f"words must be {WORD_GRAM} or more")
     if length < 2 * WIDTH:
         raise ValueError(f"length must be {2 * WIDTH} or more")
     data = rows.select(F.col("__row").alias("row"), F.coalesce("text", F.lit("")).cast("binary").alias("data"))
     marks = cut(data.mapInArrow(_anchor_rows(length, words), "row long, lo long, hi long, place long, gram long, x long"))
-    # copies of a run are folded: by gram and run, then by gram
+    # marks whose gram stands elsewhere, with copies of a run folded
+    grams = marks.groupBy("gram").agg(F.count("*").alias("t"), F.min("row").alias("first"), F.max("row").alias("last"))
+    grams = grams.where("gram & 1 = 0 and t > 1 or gram & 1 = 1 and first < last").select("gram")
+    marks = cut(marks.join(grams, "gram", "left_semi"))
     kinds = marks.groupBy("gram", "x").agg(F.count("*").alias("n"), *[f(F.struct("row", "lo", "hi", "place")).alias(x) for f, x in ((F.min, "rep"), (F.max, "top"))])
-    grams = kinds.groupBy("gram").agg(F.sum("n").alias("t"), F.count("*").alias("kinds"), F.min("rep.row").alias("first"), F.max("top.row").alias("last"))
-    grams = grams.where("gram & 1 = 0 and t > 1 or gram & 1 = 1 and first < last").select("gram", "kinds")
+    grams = kinds.groupBy("gram").agg(F.count("*").alias("kinds"))
     wordy = F.expr("gram & 1 = 1")
     again = F.when(wordy, F.col("rep.row") < F.col("top.row")).otherwise(F.col("n") > 1)
     kinds = cut(kinds.join(grams, "gram").select("gram", "x", "rep", "top", "kinds", again.alias("again"), wordy.alias("wordy")))
@@ -390,7 +398,7 @@ def touched(rows: DataFrame, length: int = LENGTH, hot: int = HOT, words: int =
     every = cut(whole.unionByName(part).groupBy("row").agg(F.collect_list(F.struct("a", "b", "mask")).alias("marks")))
     numbers = Rows(every, "row")
     out = numbers.among(data, "row").join(every, "row").select("row", "data", "marks")
-    return out.mapInArrow(_cut_rows(length), SPANS), numbers
+    return out.mapInArrow(_cut_rows(length, decoded), "row long, text string" if decoded else SPANS), numbers
 
 
 SPANS = "key long, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary"
@@ -437,13 +445,8 @@ def without_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, w
     """
     steady(docs.sparkSession)
     row, new = fresh(docs, "__row"), fresh(docs, "__text")
-    found, numbers = touched(keyed(docs, text).toDF("__row", "text"), length, words=words)
-    found = found.select(F.col("key").alias("__row"), F.col("kept").alias("__kept")).mapInArrow(_decoded, "__row long, __text string").toDF(row, new)
+    found, numbers = touched(keyed(docs, text).toDF("__row", "text"), length, words=words, decoded=True)
+    found = found.toDF(row, new)
     numbered = docs.withColumn(row, F.monotonically_increasing_id())
     cut_ = numbers.among(numbered, row).drop(text).join(found, row).withColumnRenamed(new, text).select(*[F.col(f"`{c}`") for c in docs.columns])
     return numbers.apart(numbered, row).select(*[F.col(f"`{c}`") for c in docs.columns]).unionByName(cut_)
-
-
-def _decoded(batches):
-    for batch in slices(batches):
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([b.decode("utf-8", "ignore") for b in batch.column(1).to_pylist()], pa.string())], ["__row", "__text"])
