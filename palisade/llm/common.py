@@ -56,13 +56,20 @@ def _clean() -> None:
         pass
 
 
-def cut(df: DataFrame) -> DataFrame:
+#: Rows of numbers that one file of a written table can well hold.
+FILE_ROWS = 500_000
+
+
+def cut(df: DataFrame, most_rows: int | None = None) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
     The result doesn't depend on executors' disks: a lost executor costs at
-    most a re-read.  The tables go when the driver process ends.
+    most a re-read.  The tables go when the driver process ends.  A table of short
+    rows, at most about ``most_rows``, is written as few files.
     """
     spark = df.sparkSession
+    if most_rows is not None:
+        df = df.coalesce(1 + most_rows // FILE_ROWS)
     path = f"{shared_dir(spark)}/palisade-{uuid.uuid4().hex}"
     if not _written:
         atexit.register(_clean)
@@ -145,7 +152,8 @@ class Rows:
     def __init__(self, numbers: DataFrame, name: str):
         bits = numbers.select(F.shiftright(name, 6).alias("high"), F.expr(f"shiftleft(1L, cast(`{name}` & 63 as int))").alias("bits"))
         self.bits = cut(bits.groupBy("high").agg(F.bit_or("bits").alias("bits")))
-        self.small = self.bits.count() <= BITMAP_ROWS
+        count = self.bits.count()
+        self.small, self.most = count <= BITMAP_ROWS, 64 * count
 
     def _met(self, df: DataFrame, name: str):
         high, bits = fresh(df, "__high"), fresh(df, "__bits")

@@ -279,14 +279,15 @@ def classes(rows: DataFrame, least: float = SIMILARITY) -> DataFrame:
     bucket = signed.join(member.where("__row = rep").select("__row"), "__row", "left_semi").select(F.col("__row").alias("rep"), F.posexplode("bands").alias("band", "key"))
     full = bucket.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     bucket = cut(bucket.join(full, "key").select("key", "band", "rep"))
-    sets = cut(Rows(bucket.select("rep"), "rep").among(rows.select("__row", "text"), "__row").mapInArrow(_units, "row long, units binary"))
+    needed = Rows(bucket.select("rep"), "rep")
+    sets = cut(needed.among(rows.select("__row", "text"), "__row").mapInArrow(_units, "row long, units binary"))
 
     comp = bucket.select("rep", F.col("rep").alias("comp")).distinct()
     now = bucket.where(F.col("band") < HUB_BANDS)
     hub = now.groupBy("key").agg(F.min_by("rep", F.xxhash64("rep")).alias("hub"))
     pairs = now.join(hub, "key").where("rep <> hub").select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
     links = cut(_similar(pairs, sets, least))
-    comp = cut(_with_components(comp, links))
+    comp = cut(_with_components(comp, links), needed.most)
     links = links.unionByName(cut(_across(bucket.select("key", "rep"), comp, sets, least)))
     comp = _with_components(comp.select("rep", F.col("rep").alias("comp")), links)
     return member.join(comp, "rep", "left").select("__row", F.coalesce("comp", "rep").alias("cls"))
