@@ -30,16 +30,16 @@ def folded(line: Column) -> Column:
 def entropy(text: Column) -> Column:
     """Shannon entropy in bits of the bytes of a text; 0 for an empty one.
 
-    Bytes are pairs of hex digits; of each distinct pair the share is the number of
-    its places.  It stays within one row.
+    One pass over the sorted bytes adds up c * log2(c) for each run of c equal ones;
+    nothing that grows with the text is worked out twice.
     """
     n = F.octet_length(text)
-    pairs = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(F.hex(text.cast("binary")), i * 2 + 1, F.lit(2)))
-    counts = F.array_sort(pairs)
-    starts = F.filter(F.transform(counts, lambda x, i: F.when((i == 0) | (x != F.get(counts, i - 1)), i)), lambda i: i.isNotNull())
-    runs = F.transform(starts, lambda s, k: F.coalesce(F.get(starts, k + 1), n) - s)
-    bits = F.aggregate(runs, F.lit(0.0), lambda a, c: a - (c / n) * F.log2(c / n))
-    return F.when(n > 0, bits).otherwise(F.lit(0.0))
+    pairs = F.sort_array(F.regexp_extract_all(F.hex(text.cast("binary")), F.lit(".."), F.lit(0)))
+    part = lambda c: F.when(c > 1, c * F.log2(c.cast("double"))).otherwise(F.lit(0.0))
+    state = lambda last, run, total: F.struct(last.alias("last"), run.alias("run"), total.alias("total"))
+    step = lambda a, x: F.when(a["last"] == x, state(x, a["run"] + 1, a["total"])).otherwise(state(x, F.lit(1), a["total"] + part(a["run"])))
+    total = F.aggregate(pairs, state(F.lit(""), F.lit(0), F.lit(0.0)), step, lambda a: a["total"] + part(a["run"]))
+    return F.when(n > 0, F.log2(n.cast("double")) - total / n).otherwise(F.lit(0.0))
 
 
 def extension(path: Column) -> Column:

@@ -48,13 +48,15 @@ def _argument(tokens: list, i: int) -> tuple[str, str]:
     """Kind and text of the first argument that starts at token ``i``."""
     if i >= len(tokens) or tokens[i][1] == ")":
         return "none", ""
-    depth, parts = 0, []
-    for kind, text, _ in tokens[i : i + 40]:
-        if depth == 0 and text in (",", ")", "\n"):
-            break
+    depth, parts, before = 0, [], None
+    for at in range(i, len(tokens)):
+        kind, text, line = tokens[at]
+        if depth == 0 and (text in (",", ")", "]", "}", ";", "\n") or before and line > before[2] and kind != "op" and before[0] != "op"):
+            break  # the end of the argument, or of a statement that has no semicolon
         depth += text in ("(", "[", "{")
         depth -= text in (")", "]", "}")
         parts.append((kind, text))
+        before = tokens[at]
     text = " ".join(t for _, t in parts)
     kinds = [k for k, _ in parts]
     if len(parts) == 1:
@@ -110,16 +112,16 @@ def script_rows(code: str, lang: str) -> list[tuple]:
                 if t[at][0] == "name" and text[at + 1] in (",", "}"):
                     rows.append(("import", _unquoted(text[i + 4]), text[at], "member", text[at - 2] if text[at - 1] == ":" else text[at], line))
                 at -= 1
-        if word == "import" and lang in ("javascript", "typescript") and text[i + 1] != "(":
+        if word == "import" and lang in ("javascript", "typescript") and text[i + 1] not in ("(", "."):
             at = i + 1
             names = []
-            while at < len(t) and at < i + 60 and t[at][0] != "string":
+            while at < len(t) and t[at][0] != "string" and text[at] != ";":
                 if t[at][0] == "name" and text[at] not in ("from", "as", "type"):
                     if text[at - 1] == "as" and names:
                         names.pop()
                     names.append((text[at], text[at - 2] if text[at - 1] == "as" else text[at]))
                 at += 1
-            if at < len(t) and t[at][0] == "string":
+            if at < len(t) and t[at][0] == "string":  # however many names there are
                 rows += [("import", _unquoted(text[at]), n, "import", m, line) for n, m in names] or [("import", _unquoted(text[at]), None, "import", None, line)]
         if lang == "ruby" and kind == "template":
             rows.append(("call", None, "`", "string", word, line))

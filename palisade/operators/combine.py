@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as T
+
 OBFUSCATION = ["P014", "P017", "P007"]
 
 
@@ -17,12 +19,11 @@ def escalated(findings: DataFrame) -> DataFrame:
     """Dynamic loading next to obfuscation or evidence removal in one file is critical; removal next to execution says so."""
     w = Window.partitionBy("file")
     has = lambda ids: any_of(F.col("rule_id"), ids, w)
-    rows = findings.withColumn("__d", has(["P013"])).withColumn("__o", has(OBFUSCATION)).withColumn("__a", has(["P015"])).withColumn("__e", has(["P001"]))
-    known = F.col("file").isNotNull()
-    up = known & (F.col("rule_id") == "P013") & (F.col("__o") | F.col("__a"))
-    note = known & (F.col("rule_id") == "P015") & (F.col("__d") | F.col("__e"))
-    message = F.when(up, F.concat("message", F.lit(" [ESCALATED: combined with obfuscation signals]"))).when(note, F.concat("message", F.lit(" [ESCALATED: combined with code execution]"))).otherwise(F.col("message"))
-    return rows.withColumn("severity", F.when(up, "critical").otherwise(F.col("severity"))).withColumn("message", message).drop("__d", "__o", "__a", "__e")
+    rows = findings.where("file is not null").withColumn("__d", has(["P013"])).withColumn("__o", has(OBFUSCATION)).withColumn("__a", has(["P015"])).withColumn("__e", has(["P001"]))
+    up = (F.col("rule_id") == "P013") & (F.col("__o") | F.col("__a"))
+    note = (F.col("rule_id") == "P015") & (F.col("__d") | F.col("__e"))
+    message = F.when(up, F.concat("message", F.lit(" (graver: the same file hides what it does)"))).when(note, F.concat("message", F.lit(" (graver: the same file loads or runs code)"))).otherwise(F.col("message"))
+    return rows.withColumn("severity", F.when(up, "critical").otherwise(F.col("severity"))).withColumn("message", message).select(*findings.columns).unionByName(findings.where("file is null"))
 
 
 def combinations(findings: DataFrame) -> DataFrame:
@@ -49,13 +50,14 @@ def allowed(findings: DataFrame, allow: DataFrame, on: list[str]) -> DataFrame:
 
 
 def reachable(findings: DataFrame, imports: DataFrame, dev: DataFrame | None = None) -> DataFrame:
-    """``reachable``: whether the application imports the finding's package and it isn't for development only; null without a package."""
-    rows = findings.join(imports.select(F.col("package").alias("__i")).distinct(), F.col("package") == F.col("__i"), "left")
+    """``reachable``: whether the application imports the finding's package, whatever its version, and it isn't for development only; null without a package."""
+    rows = findings.withColumn("__n", T.without_version(F.col("package")))
+    rows = rows.join(imports.select(F.col("package").alias("__i")).distinct(), F.col("__n") == F.col("__i"), "left")
     used = F.col("__i").isNotNull()
     if dev is not None:
-        rows = rows.join(dev.select(F.col("package").alias("__v")).distinct(), F.col("package") == F.col("__v"), "left")
+        rows = rows.join(dev.select(F.col("package").alias("__v")).distinct(), F.col("__n") == F.col("__v"), "left")
         used = used & F.col("__v").isNull()
-    return rows.withColumn("reachable", F.when(F.col("package").isNotNull(), used)).drop("__i", *(["__v"] if dev is not None else []))
+    return rows.withColumn("reachable", F.when(F.col("package").isNotNull(), used)).drop("__i", "__n", *(["__v"] if dev is not None else []))
 
 
 def build_downgraded(findings: DataFrame) -> DataFrame:

@@ -62,6 +62,27 @@ def tampered(before: DataFrame, after: DataFrame) -> DataFrame:
 
 
 def process_tree(processes: DataFrame, root) -> DataFrame:
-    """All processes (pid, parent) below and with ``root``, by a recursive query."""
-    processes.createOrReplaceTempView("__processes")
-    return processes.sparkSession.sql(f"with recursive tree(pid, depth) as (select pid, 0 from __processes where pid = {root} union all select p.pid, t.depth + 1 from __processes p join tree t on p.parent = t.pid where p.pid <> p.parent) select pid, depth from tree")
+    """All processes (pid, parent) below and with ``root``, level by level (pid, depth).
+
+    Each level is a join of the level above with its children.  A process that was
+    met before isn't met again, so parents in a circle end.
+    """
+    links = processes.select("pid", "parent").where("pid <> parent").distinct()
+    level = met = processes.where(F.col("pid") == root).select("pid").distinct().withColumn("depth", F.lit(0))
+    depth = 0
+    while True:
+        depth += 1
+        level = links.join(level.select(F.col("pid").alias("parent")), "parent", "left_semi").select("pid").distinct().join(met.select("pid"), "pid", "left_anti").withColumn("depth", F.lit(depth)).persist()
+        if level.isEmpty():
+            return met
+        met = met.unionByName(level)
+
+
+def of_tree(connections: DataFrame, tree: DataFrame) -> DataFrame:
+    """Connections whose process (pid) is in a tree."""
+    return connections.join(tree.select("pid"), "pid", "left_semi")
+
+
+def seen_connections(connections: DataFrame, *by: str) -> DataFrame:
+    """Each combination of ``by`` once."""
+    return connections.select(*by).distinct()

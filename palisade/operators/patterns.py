@@ -66,6 +66,14 @@ def entropy_hits(lines: DataFrame, key: str, longer: int = rules.LONG_TOKEN, bit
     return first.withColumn("k", F.row_number().over(Window.partitionBy(key).orderBy("line_no"))).where(F.col("k") <= most).select(key, "line_no", "token", "n_bytes", "bits")
 
 
+def entropy_findings(files: DataFrame, longer: int = rules.LONG_TOKEN, bits: float = rules.ENTROPY_BITS) -> DataFrame:
+    """P007: long tokens of high entropy in files (path, text) other than JSON."""
+    rows = T.lines(files.where(~F.lower(T.extension(F.col("path"))).eqNullSafe("json")).select("path", "text"), "path")
+    hits = entropy_hits(rows, "path", longer, bits)
+    message = F.format_string("token of %d bytes with %.2f bits a byte", F.col("n_bytes"), F.col("bits"))
+    return hits.select(F.lit("P007").alias("rule_id"), F.lit("high").alias("severity"), F.lit("low").alias("confidence"), message.alias("message"), F.col("path").alias("file"), F.col("line_no").alias("line"), T.package_of(F.col("path")).alias("package"))
+
+
 def path_file_hits(files: DataFrame) -> DataFrame:
     """``.pth`` files with code: the first keyword of the list that a file contains."""
     which = F.coalesce(*[F.when(F.col("text").contains(k), k) for k in rules.PTH_KEYWORDS])

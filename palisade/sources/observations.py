@@ -28,7 +28,7 @@ def open_files(lines: DataFrame) -> DataFrame:
     from pyspark.sql import Window
 
     order = Window.partitionBy("file").orderBy("line_no")
-    tag, value = F.left("line", F.lit(1)), F.substring("line", 2, 1_000_000)
+    tag, value = F.left("line", F.lit(1)), F.expr("substring(line, 2)")
     last = lambda t: F.last(F.when(tag == t, value), ignorenulls=True).over(order)
     fd = F.sum(F.when(tag.isin("f", "p"), 1).otherwise(0)).over(order)
     rows = lines.withColumn("pid", last("p").cast("int")).withColumn("process_name", last("c")).withColumn("fd", fd)
