@@ -35,5 +35,6 @@ def classified(findings: DataFrame, classifier: Classifier = by_rule, order: lis
     return out.withColumn("classification", settled(F.col("classification"), F.col("confidence")))
 
 
-def cost(verdicts: DataFrame, per_in: float, per_out: float) -> DataFrame:
-    return verdicts.agg(F.sum("tokens_in").alias("tokens_in"), F.sum("tokens_out").alias("tokens_out"), (F.sum("tokens_in") * per_in + F.sum("tokens_out") * per_out).alias("cost"))
+def cost(verdicts: DataFrame, per_in: float, per_out: float, *by: str) -> DataFrame:
+    """(by, n, tokens_in, tokens_out, cost): what reviews took, at prices for a token read and written."""
+    return verdicts.groupBy(*by).agg(F.count("*").alias("n"), F.sum("tokens_in").alias("tokens_in"), F.sum("tokens_out").alias("tokens_out"), (F.sum("tokens_in") * per_in + F.sum("tokens_out") * per_out).alias("cost"))

@@ -67,15 +67,20 @@ def process_tree(processes: DataFrame, root) -> DataFrame:
     Each level is a join of the level above with its children.  A process that was
     met before isn't met again, so parents in a circle end.
     """
-    links = processes.select("pid", "parent").where("pid <> parent").distinct()
-    level = met = processes.where(F.col("pid") == root).select("pid").distinct().withColumn("depth", F.lit(0))
-    depth = 0
+    links = processes.select("pid", "parent").where("pid <> parent").distinct().persist()
+    levels = [processes.where(F.col("pid") == root).select("pid").distinct()]
     while True:
-        depth += 1
-        level = links.join(level.select(F.col("pid").alias("parent")), "parent", "left_semi").select("pid").distinct().join(met.select("pid"), "pid", "left_anti").withColumn("depth", F.lit(depth)).persist()
-        if level.isEmpty():
-            return met
-        met = met.unionByName(level)
+        level = links.join(levels[-1].select(F.col("pid").alias("parent")), "parent", "left_semi").select("pid").distinct()
+        for above in levels:  # kept in memory, and no more of them than the tree is deep
+            level = level.join(above, "pid", "left_anti")
+        level = level.persist()
+        if not level.count():
+            break
+        levels.append(level)
+    out = levels[0].withColumn("depth", F.lit(0))
+    for depth, level in enumerate(levels[1:], 1):
+        out = out.unionByName(level.withColumn("depth", F.lit(depth)))
+    return out
 
 
 def of_tree(connections: DataFrame, tree: DataFrame) -> DataFrame:

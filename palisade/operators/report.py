@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import json
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .. import rules
 from ..schema import ordinal, severity_name
 
 
@@ -27,6 +30,58 @@ def top_packages(findings: DataFrame, n: int = 8) -> DataFrame:
     return sums.orderBy(F.desc("o"), F.desc("n"), "package").limit(n).select("package", "n", severity_name(F.col("o")).alias("severity"))
 
 
+def executive(findings: DataFrame) -> DataFrame:
+    """(category, n, critical, high, packages, reachable): the counts that a summary shows."""
+    grave = lambda s: F.count_if(F.col("severity") == s).alias(s)
+    return findings.groupBy("category").agg(F.count("*").alias("n"), grave("critical"), grave("high"), F.countDistinct("package").alias("packages"), F.count_if("reachable").alias("reachable"))
+
+
+def by_reach(findings: DataFrame) -> DataFrame:
+    """(bucket, package, n): findings in what runs, and in what only builds."""
+    bucket = F.when(F.col("reachable"), "runtime").otherwise("build").alias("bucket")
+    return findings.groupBy(bucket, "package").agg(F.count("*").alias("n"))
+
+
+def detection_matrix(samples: DataFrame) -> DataFrame:
+    """(layer, detected, total, percent) of samples (layer, detected), and OVERALL."""
+    out = samples.rollup("layer").agg(F.count_if("detected").alias("detected"), F.count("*").alias("total"))
+    return out.select(F.coalesce("layer", F.lit("OVERALL")).alias("layer"), "detected", "total", (F.lit(100.0) * F.col("detected") / F.col("total")).alias("percent"))
+
+
+def glossary(spark: SparkSession) -> DataFrame:
+    """(rule_id, description) of the line rules."""
+    return spark.createDataFrame([(r.id, r.description) for r in rules.LINE_RULES], "rule_id string, description string")
+
+
+def explained(findings: DataFrame, glossary: DataFrame) -> DataFrame:
+    """(rule_id, description, n, severity): the rules that findings broke, the gravest first; rules without an entry have no description."""
+    sums = findings.groupBy("rule_id").agg(F.count("*").alias("n"), F.max(ordinal("severity")).alias("__o"))
+    rows = sums.join(glossary, "rule_id", "left").orderBy(F.desc("__o"), "rule_id")
+    return rows.select("rule_id", "description", "n", severity_name(F.col("__o")).alias("severity"))
+
+
+def sarif_document(rules_: DataFrame, results: DataFrame, name: str = "palisade", version: str = "1") -> str:
+    """A whole SARIF 2.1.0 document, for reports that a person reads: rules and results come to the driver."""
+    listed = [{"id": r["rule_id"], "shortDescription": {"text": r["text"]}, "defaultConfiguration": {"level": r["level"]}} for r in rules_.orderBy("rule_id").collect()]
+    found = [json.loads(r["json"]) for r in results.collect()]
+    run = {"tool": {"driver": {"name": name, "version": version, "rules": listed}}, "results": found}
+    return json.dumps({"$schema": "https://json.schemastore.org/sarif-2.1.0.json", "version": "2.1.0", "runs": [run]}, indent=2)
+
+
+def text_report(findings: DataFrame, order: list[str], most: int | None = None, width: int = 100) -> DataFrame:
+    """(place, line): findings as lines of text, wrapped at ``width`` characters, the gravest first; ``most`` of them if that is given."""
+    rows = findings.orderBy(F.desc(ordinal("severity")), *order)
+    rows = rows if most is None else rows.limit(most)
+    where = F.concat_ws(":", "file", F.col("line").cast("string"))
+    line = F.concat_ws("  ", F.rpad(F.upper("severity"), 8, " "), F.rpad("rule_id", 10, " "), F.coalesce(F.nullif(where, F.lit("")), F.col("package"), F.lit("project")), "message")
+    return rows.select(F.monotonically_increasing_id().alias("place"), wrapped(line, width).alias("line"))
+
+
+def wrapped(text, width: int):
+    """Text broken at spaces into lines of at most ``width`` characters, where words allow it."""
+    return F.rtrim(F.regexp_replace(text, rf"(.{{1,{width - 1}}}\S)(?:\s+|$)", "$1\n"))
+
+
 def sarif_level(severity):
     return F.when(severity.isin("critical", "high"), "error").when(severity == "medium", "warning").otherwise("note")
 

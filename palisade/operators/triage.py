@@ -36,6 +36,12 @@ def tally(verdicts: DataFrame, by: list[str]) -> DataFrame:
     return verdicts.groupBy(*by).agg(is_("TP").alias("tp"), is_("FP").alias("fp"), is_("NI").alias("ni"), F.count("*").alias("total"))
 
 
+def packages(verdicts: DataFrame) -> DataFrame:
+    """(package, verdict, tp, fp, ni, total): a package is right to be reported if one finding is, open if one is, else clean (FP)."""
+    sums = tally(verdicts, ["package"])
+    return sums.withColumn("verdict", F.when(F.col("tp") > 0, "TP").when(F.col("ni") > 0, "NI").otherwise("FP"))
+
+
 def settled(classification: Column, confidence: Column, least: float = 0.5) -> Column:
     """A verdict below ``least`` confidence needs investigation."""
     return F.when(confidence < least, "NI").otherwise(classification)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .. import rules
 from ..functions import text as T
-from ..operators import capabilities, combine, dependencies, incremental, monitor, patterns, report, score, secrets, triage, workflows
+from ..operators import attestation, capabilities, classify, combine, dependencies, incremental, monitor, patterns, report, score, secrets, triage
 from ..schema import ordinal, severity_name
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -46,9 +46,9 @@ def sql_text(s: str) -> str:
 
 
 LINES = r"(select doc_id, source, generate_subscripts(l, 1) as line_no, unnest(l) as line from (select doc_id, source, string_split_regex(regexp_replace(text, '\n\z', ''), '\r?\n') as l from documents))"
-SQL_ENTROPY = "list_sum(list_transform(map_values(list_aggregate(list_transform(range(0, strlen({v})), lambda i: substr(hex({v}), (i * 2 + 1)::bigint, 2)), 'histogram')), lambda c: -(c / strlen({v})) * log2(c / strlen({v}))))"
+SQL_ENTROPY = "list_sum(list_transform(map_values(list_aggregate(regexp_extract_all(hex({v}), '..'), 'histogram')), lambda c: -(c / strlen({v})) * log2(c / strlen({v}))))"
 SQL_ASSIGN = sql_text(rules.ASSIGNMENT)
-SQL_ASSIGNMENTS = f"(select doc_id, source, line_no, regexp_extract(line, {SQL_ASSIGN}, 1) as name, regexp_extract(line, {SQL_ASSIGN}, 2) as value from {LINES} where regexp_matches(line, {SQL_ASSIGN}) and not contains(line, 'scan:allow'))"
+SQL_ASSIGNMENTS = f"(select doc_id, source, line_no, generate_subscripts(regexp_extract_all(line, {SQL_ASSIGN}, 1), 1) - 1 as place, unnest(regexp_extract_all(line, {SQL_ASSIGN}, 1)) as name, unnest(regexp_extract_all(line, {SQL_ASSIGN}, 2)) as value from {LINES} where regexp_matches(line, {SQL_ASSIGN}) and not contains(line, 'scan:allow'))"
 
 
 # --- scans and rules ---------------------------------------------------------------
@@ -58,12 +58,12 @@ def scan_lines(spark, d):
     return doc_lines(spark, d).select("doc_id", F.col("line_no").cast("long").alias("line_no"), "line")
 
 
-@query(f"""select doc_id, line_no, name, value, length(value) as n_chars, round({SQL_ENTROPY.format(v='value')}, 6) as bits,
+@query(f"""select doc_id, line_no, place, name, value, length(value) as n_chars, round({SQL_ENTROPY.format(v='value')}, 6) as bits,
  case when {SQL_ENTROPY.format(v='value')} > 4.5 and length(value) > 30 then 'S021' else 'S022' end as rule_id,
  case when {SQL_ENTROPY.format(v='value')} > 4.5 and length(value) > 30 then 'high' else 'medium' end as severity from {SQL_ASSIGNMENTS}""")
 def secret_assignments(spark, d):
     rows = secrets.assignments(doc_lines(spark, d), "doc_id")
-    return rows.select("doc_id", F.col("line_no").cast("long").alias("line_no"), "name", "value", "n_chars", F.round("bits", 6).alias("bits"), "rule_id", "severity")
+    return rows.select("doc_id", F.col("line_no").cast("long").alias("line_no"), F.col("place").cast("long").alias("place"), "name", "value", "n_chars", F.round("bits", 6).alias("bits"), "rule_id", "severity")
 
 
 @query("select rule_id, (select count(*) from documents_pages where regexp_matches(line, pattern)) as n from (values " + ", ".join(f"({sql_text(k)}, {sql_text(v)})" for k, v in rules.SECRET_PATTERNS.items()) + ") r(rule_id, pattern)")
@@ -74,14 +74,6 @@ def secret_rule_counts(spark, d):
 
 SQL["secret_rule_counts"] = "with documents_pages as (select unnest(string_split_regex(regexp_replace(t, '\\n\\z', ''), '\\r?\\n')) as line from (select text as t from documents union all select html from pages)), r(rule_id, pattern) as (values " + ", ".join(f"({sql_text(k)}, {sql_text(v)})" for k, v in rules.SECRET_PATTERNS.items()) + ") " + " union all ".join(f"select {sql_text(k)} as rule_id, count_if(regexp_matches(line, {sql_text(v)})) as n from documents_pages" for k, v in rules.SECRET_PATTERNS.items())
 
-IP = r"\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\b"
-
-
-@query(f"select doc_id, line_no, regexp_extract(line, {sql_text(IP)}) as ip, contains(line, '169.254.169.254') as imds from {LINES} where regexp_matches(line, {sql_text(IP)})")
-def raw_ip_lines(spark, d):
-    rows = doc_lines(spark, d).where(F.col("line").rlike(IP))
-    return rows.select("doc_id", F.col("line_no").cast("long").alias("line_no"), F.regexp_extract("line", IP, 0).alias("ip"), F.col("line").contains("169.254.169.254").alias("imds"))
-
 
 @query(f"""with t as (select doc_id, line_no, unnest(w) as word, generate_subscripts(w, 1) as place from (select doc_id, line_no, string_split_regex(line, '\\s+') as w from {LINES})),
  u as (select doc_id, line_no, place, regexp_replace(word, {sql_text("^[\"'`]+|[\"'`]+$")}, '', 'g') as token from t),
@@ -117,32 +109,8 @@ def module_packages(spark, d):
     return rows.select("page_id", "spec", T.module_package(F.col("spec")).alias("package"))
 
 
-def all_rule_case(sql: bool) -> str:
-    return "[" + ", ".join(f"case when regexp_matches(seen, {sql_text(r.pattern)}) then {sql_text(r.id)} end" for r in rules.LINE_RULES) + "]"
-
-
-@query(f"""with l as (select page_id, html, unnest(string_split_regex(regexp_replace(html, '\\n\\z', ''), '\\r?\\n')) as line, generate_subscripts(string_split_regex(regexp_replace(html, '\\n\\z', ''), '\\r?\\n'), 1) as line_no from pages),
- s as (select page_id, line_no, html, replace(replace(replace(replace(translate(line, {sql_text(rules.CONFUSABLES)}, {sql_text(rules.PLAIN)}), '" + "', ''), ''' + ''', ''), '" + "', ''), ''' + ''', '') as seen from l)
- select page_id, line_no, rule_id from (select page_id, line_no, seen, html, unnest(list_filter({all_rule_case(True)}, lambda x: x is not null)) as rule_id from s)
- where rule_id <> 'P006' and (rule_id <> 'P001' or regexp_matches(html, 'child_process|shelljs|execa|cross-spawn') or contains(seen, 'eval'))""")
-def rule_bank(spark, d):
-    files = table(spark, d, "pages").select(F.concat(F.lit("node_modules/page/"), F.col("page_id").cast("string"), F.lit(".js")).alias("path"), F.col("html").alias("text"))
-    found = patterns.scan(files)
-    return found.select(F.regexp_extract("file", r"(\d+)\.js$", 1).cast("long").alias("page_id"), F.col("line").cast("long").alias("line_no"), "rule_id")
-
-
-@query(f"select doc_id, count(*) as n from {LINES} where not contains(line, 'the') group by doc_id")
-def suppress_inline(spark, d):
-    return doc_lines(spark, d).where(~F.col("line").contains("the")).groupBy("doc_id").agg(F.count("*").alias("n"))
-
-
 # --- lock files, advisories, names ------------------------------------------------
 
-@query("select distinct l_partkey as name, l_suppkey as version from lineitem")
-def package_dedup(spark, d):
-    return table(spark, d, "lineitem").select(F.col("l_partkey").alias("name"), F.col("l_suppkey").alias("version")).distinct()
-
-
 def locks(spark, d):
     rows = table(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("name"), F.col("l_suppkey").alias("version")).agg(F.max("l_orderkey").alias("integrity"))
     return rows.where("name % 7 <> 0"), rows.where("name % 5 <> 0").withColumn("integrity", F.expr("if(name % 11 = 0, integrity + 1, integrity)"))
@@ -167,19 +135,14 @@ def lock_merge(spark, d):
     return incremental.merged(*locks(spark, d))
 
 
-@query("""with p as (select p_name as popular, min(p_partkey) as rank from part where p_partkey % 10 = 0 group by 1), a as (select distinct p_name as name from part where p_name not in (select popular from p))
- select name, arg_min(popular, rank) as like from a join p on levenshtein(name, popular) = 1 group by name""".replace(" as like", ' as "like"'))
+@query("""with p as (select p_name as popular, min(p_partkey) as rank from part where p_size > 40 group by 1),
+ n as (select p_name as name from part union select left(p_name, p_partkey % length(p_name)) || substr(p_name, p_partkey % length(p_name) + 2) from part), a as (select name from n where name not in (select popular from p))
+ select name, arg_min(popular, rank) as "like" from a join p on abs(length(name) - length(popular)) < 2 and levenshtein(name, popular) = 1 group by name""")
 def typosquat(spark, d):
     part = table(spark, d, "part")
-    popular = part.where("p_partkey % 10 = 0").groupBy(F.col("p_name").alias("popular")).agg(F.min("p_partkey").alias("rank"))
-    return dependencies.lookalikes(part.select(F.col("p_name").alias("name")), popular)
-
-
-@query("select distinct source from documents where source not in (select source from documents join labels using (doc_id) where quality = 0)")
-def uncovered_sources(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", "source")
-    covered = docs.join(table(spark, d, "labels").where("quality = 0"), "doc_id", "left_semi").select("source")
-    return docs.select("source").distinct().join(covered, "source", "left_anti")
+    popular = part.where("p_size > 40").groupBy(F.col("p_name").alias("popular")).agg(F.min("p_partkey").alias("rank"))
+    less = F.expr("concat(left(p_name, cast(p_partkey % length(p_name) as int)), substring(p_name, cast(p_partkey % length(p_name) + 2 as int)))")  # a letter left out
+    return dependencies.lookalikes(part.select(F.col("p_name").alias("name")).unionByName(part.select(less.alias("name"))), popular)
 
 
 SQL_SCORE = "least(10.0, 5.0 + case when contains(v, 'AV:N') then 1.5 else 0 end + case when contains(v, 'AC:L') then 0.5 else 0 end + case when contains(v, 'PR:N') then 0.5 else 0 end + case when contains(v, 'C:H') then 1.0 else 0 end + case when contains(v, 'I:H') then 0.5 else 0 end + case when contains(v, 'A:H') then 0.5 else 0 end)"
@@ -271,7 +234,7 @@ def persona_rescore(spark, d):
 
 
 @query(SQL_FINDINGS + """, w as (select *, bool_or(rule_id = 'P013') over p as d, bool_or(rule_id in ('P014', 'P017', 'P007')) over p as b, bool_or(rule_id = 'P015') over p as a, bool_or(rule_id = 'P001') over p as e from f window p as (partition by file))
- select k1, k2, k3, rule_id, case when rule_id = 'P013' and (b or a) then 'critical' else severity end as severity, 'm' || case when rule_id = 'P013' and (b or a) then ' [ESCALATED: combined with obfuscation signals]' when rule_id = 'P015' and (d or e) then ' [ESCALATED: combined with code execution]' else '' end as message from w""")
+ select k1, k2, k3, rule_id, case when rule_id = 'P013' and (b or a) then 'critical' else severity end as severity, 'm' || case when rule_id = 'P013' and (b or a) then ' (graver: the same file hides what it does)' when rule_id = 'P015' and (d or e) then ' (graver: the same file loads or runs code)' else '' end as message from w""")
 def signal_escalation(spark, d):
     return combine.escalated(findings(spark, d).withColumn("message", F.lit("m"))).select("k1", "k2", "k3", "rule_id", "severity", "message")
 
@@ -346,7 +309,7 @@ def display_labels(spark, d):
 
 @query(SQL_FINDINGS + " select category, count(*) as n, count_if(severity = 'critical') as critical, count_if(severity = 'high') as high, count(distinct package) as packages, count_if(reachable) as reachable from f group by category")
 def exec_summary(spark, d):
-    return findings(spark, d).groupBy("category").agg(F.count("*").alias("n"), F.count_if(F.col("severity") == "critical").alias("critical"), F.count_if(F.col("severity") == "high").alias("high"), F.countDistinct("package").alias("packages"), F.count_if("reachable").alias("reachable"))
+    return report.executive(findings(spark, d))
 
 
 @query(SQL_FINDINGS + " select package, count(*) as n, ['low', 'medium', 'high', 'critical'][(max(o) + 1)::int] as severity, array_to_string(list_sort(list(distinct rule_id)), ',') as labels, array_to_string(list(file || ':' || k2 order by k1, k2, k3, k4)[:3], ',') as places, arg_min(rule_id, (k1, k2, k3, k4)) as suggestion from f group by package")
@@ -363,8 +326,7 @@ def deps_top8(spark, d):
 
 @query(SQL_FINDINGS + " select case when reachable = true then 'runtime' else 'build' end as bucket, package, count(*) as n from f group by all")
 def runtime_build_split(spark, d):
-    bucket = F.when(F.col("reachable"), "runtime").otherwise("build").alias("bucket")
-    return findings(spark, d).groupBy(bucket, "package").agg(F.count("*").alias("n"))
+    return report.by_reach(findings(spark, d))
 
 
 @query(SQL_FINDINGS + " select rule_id, arg_min(case when severity in ('critical', 'high') then 'error' when severity = 'medium' then 'warning' else 'note' end, (k1, k2, k3, k4)) as level, arg_min(file, (k1, k2, k3, k4)) as text from f group by rule_id")
@@ -374,9 +336,8 @@ def sarif_levels(spark, d):
 
 @query("select coalesce(layer, 'OVERALL') as layer, detected, total, round(100.0::double * detected / total, 4) as percent from (select case when quality = 1 then 'good' else 'bad' end as layer, count_if(toxic = 1) as detected, count(*) as total from labels group by rollup(layer))")
 def detection_matrix(spark, d):
-    rows = table(spark, d, "labels").withColumn("layer", F.when(F.col("quality") == 1, "good").otherwise("bad"))
-    out = rows.rollup("layer").agg(F.count_if(F.col("toxic") == 1).alias("detected"), F.count("*").alias("total"))
-    return out.select(F.coalesce("layer", F.lit("OVERALL")).alias("layer"), "detected", "total", F.round(F.lit(100.0) * F.col("detected") / F.col("total"), 4).alias("percent"))
+    rows = table(spark, d, "labels").select(F.when(F.col("quality") == 1, "good").otherwise("bad").alias("layer"), (F.col("toxic") == 1).alias("detected"))
+    return report.detection_matrix(rows).withColumn("percent", F.round("percent", 4))
 
 
 # --- triage --------------------------------------------------------------------------
@@ -422,8 +383,8 @@ def triage_tally(spark, d):
 
 @query("select role, count(*) as n, sum(length(text)) as tokens, round(sum(length(text)) * 0.000003::double, 9) as cost from conversations group by role")
 def triage_cost(spark, d):
-    out = table(spark, d, "conversations").groupBy("role").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("tokens"))
-    return out.withColumn("cost", F.round(F.col("tokens") * 0.000003, 9))
+    rows = table(spark, d, "conversations").select("role", F.lit(0).alias("tokens_out"), F.length("text").alias("tokens_in"))
+    return classify.cost(rows, 0.000003, 0.0, "role").select("role", "n", F.col("tokens_in").alias("tokens"), F.round("cost", 9).alias("cost"))
 
 
 @query("select conv_id, turn from (select *, coalesce(sum(length(text)) over (partition by conv_id order by turn rows between unbounded preceding and 1 preceding), 0) as s from conversations) where s < 500")
@@ -432,52 +393,6 @@ def budgeted_turns(spark, d):
     return triage.within_budget(rows, "cost", 500, ["turn"], "conv_id").select("conv_id", "turn")
 
 
-# --- workflows -----------------------------------------------------------------------
-
-FLOW = """name: x
-on: pull_request_target
-permissions: write-all
-jobs:
-  a:
-    steps:
-      - uses: actions/checkout@v4
-      - uses: ./local
-      - uses: docker://alpine@3
-      - uses: org/pinned@0123456789abcdef0123456789abcdef01234567
-      - run: |
-          echo ${{ github.event.issue.title }}
-
-          git push --force origin main
-      - name: ${{ github.event.issue.body }}
-      - run: git commit --no-verify"""
-FLOW_LINES = FLOW.split("\n")
-SQL_FLOW = "(select l.n as line_no, l.t as line from (values " + ", ".join(f"({i}, {sql_text(x)})" for i, x in enumerate(FLOW_LINES, 1)) + ") l(n, t))"
-
-
-def flow(spark):
-    return spark.createDataFrame([("w.yml", i, x) for i, x in enumerate(FLOW_LINES, 1)], "file string, line_no int, line string")
-
-
-@query(f"select line_no, regexp_extract(line, 'uses:\\s*([^\\s#]+)', 1) as action from {SQL_FLOW} where regexp_matches(line, 'uses:\\s*[^\\s#]+@') and not regexp_matches(line, 'uses:\\s*(\\./|docker://)') and not regexp_matches(line, '@[0-9a-f]{{40}}')")
-def workflow_uses_pin(spark, d):
-    return workflows.unpinned(flow(spark)).select("line_no", "action")
-
-
-@query(f"""with r as (select *, length(line) - length(ltrim(line)) as i, max(case when regexp_matches(line, '^\\s*-?\\s*run:') then line_no end) over (order by line_no) as run from {SQL_FLOW}),
- s as (select *, min(case when line_no <> run and trim(line) <> '' then i end) over (partition by run order by line_no) as m, first(i) over (partition by run order by line_no) as b from r) select line_no, line from s where run is not null and (line_no = run or m is null or m > b)""")
-def run_block_lines(spark, d):
-    return workflows.run_lines(flow(spark)).select("line_no", "line")
-
-
-@query("select 'W002' as rule_id, 0 as line_no union all select 'W003', 7 union all select 'W004', 12 union all select 'W005', 14 union all select 'W005', 16")
-def workflow_rules(spark, d):
-    f = flow(spark)
-    rows = workflows.permissions(f).select("rule_id", F.lit(0).alias("line_no"))
-    for found in (workflows.checkout_of_requests(f), workflows.injections(f), workflows.git_flags(f)):
-        rows = rows.unionByName(found.select("rule_id", "line_no"))
-    return rows
-
-
 # --- runtime -------------------------------------------------------------------------
 
 HOSTS = ["registry.npmjs.org", "api.github.com", "169.254.169.254", "evil.example.com", "cdn.github.com", "notgithub.com"]
@@ -502,7 +417,7 @@ def conn_classify(spark, d):
 
 @query(f"select distinct host, port, user_id from {SQL_CONN}")
 def conn_dedup(spark, d):
-    return connections(spark, d).select("host", "port", "user_id").distinct()
+    return monitor.seen_connections(connections(spark, d), "host", "port", "user_id")
 
 
 @query(f"select host, case when host = '169.254.169.254' then 'critical' when host in ('github.com', 'api.github.com', 'api.osv.dev') then 'matched' else 'violation' end as class from (select distinct host from {SQL_CONN})")
@@ -549,19 +464,23 @@ def canary_tamper(spark, d):
 @query(f"select user_id, count(*) as n, count(distinct host) as hosts, array_to_string(list_sort(list(distinct host)), ',') as names, count_if({SQL_CLASS} = 'unexpected') as unexpected from {SQL_CONN} group by user_id")
 def attestation_summary(spark, d):
     rows = connections(spark, d).withColumn("class", monitor.connection_class(F.col("host"), F.lit(None).cast("string"), F.col("process")))
-    return rows.groupBy("user_id").agg(F.count("*").alias("n"), F.countDistinct("host").alias("hosts"), F.array_join(F.array_sort(F.collect_set("host")), ",").alias("names"), F.count_if(F.col("class") == "unexpected").alias("unexpected"))
+    out = attestation.summaries(rows.withColumnRenamed("host", "remote_host"), "user_id")
+    return out.select("user_id", F.col("connections").alias("n"), F.size("hosts").cast("long").alias("hosts"), F.array_join("hosts", ",").alias("names"), "unexpected")
 
 
 # --- the flagship: from source text to graded sources ----------------------------------
 
-SQL_SOURCES = f"""with f as (select source as category, case when {SQL_ENTROPY.format(v='value')} > 4.5 and length(value) > 30 then 'high' else 'medium' end as severity, case when {SQL_ENTROPY.format(v='value')} > 4.5 and length(value) > 30 then 2 else 1 end as o, doc_id as k1, line_no as k2, 0 as k3, 0 as k4, null::boolean as reachable from {SQL_ASSIGNMENTS}),"""
+SQL_SOURCES = f"""with f as (select source as category, case when {SQL_ENTROPY.format(v='value')} > 4.5 and length(value) > 30 then 'high' else 'medium' end as severity, case when {SQL_ENTROPY.format(v='value')} > 4.5 and length(value) > 30 then 2 else 1 end as o, doc_id as k1, line_no as k2, place as k3, 0 as k4, null::boolean as reachable from {SQL_ASSIGNMENTS}),"""
 
 
 @query(SQL_SOURCES + SQL_WEIGHTS.format(f="f") + ", a as (select distinct source from documents), c as (select source, coalesce(n, 0) as n, case when n is null then 25.0::double else round(greatest(greatest(0.0, 25 - 25.0::double / (n + 1) * taken), case when grave then 0.0 else 7.5 end), 6) end as score from a left join h on category = source) select source, n, score, case when score * 4 >= 90 then 'A' when score * 4 >= 75 then 'B' when score * 4 >= 60 then 'C' when score * 4 >= 40 then 'D' else 'F' end as grade from c")
 def source_grades(spark, d):
     docs = table(spark, d, "documents")
     found = secrets.assignments(doc_lines(spark, d, "source").select("doc_id", "source", "line_no", "line").withColumn("key", F.struct("doc_id", "source")), "key")
-    found = found.select(F.col("key.source").alias("category"), "severity", F.col("key.doc_id").alias("k1"), F.col("line_no").alias("k2"), F.lit(0).alias("k3"), F.lit(0).alias("k4"), F.lit(None).cast("boolean").alias("reachable"))
+    found = found.select(F.col("key.source").alias("category"), "severity", F.col("key.doc_id").alias("k1"), F.col("line_no").alias("k2"), F.col("place").alias("k3"), F.lit(0).alias("k4"), F.lit(None).cast("boolean").alias("reachable"))
     cats = docs.select(F.col("source").alias("category")).distinct().withColumn("max_score", F.lit(25.0))
     out = score.category_scores(found, cats, ORDER).withColumn("score", F.round("score", 6))
     return out.select(F.col("category").alias("source"), "n", "score", score.grade(F.col("score") * 4).alias("grade"))
+
+
+from . import detection  # noqa: E402,F401  adds its queries
