@@ -62,25 +62,23 @@ def tampered(before: DataFrame, after: DataFrame) -> DataFrame:
 
 
 def process_tree(processes: DataFrame, root) -> DataFrame:
-    """All processes (pid, parent) below and with ``root``, level by level (pid, depth).
+    """All processes (pid, parent) below and with ``root``: (pid, depth).
 
-    Each level is a join of the level above with its children.  A process that was
-    met before isn't met again, so parents in a circle end.
+    Every process points at its parent; each round it points at what that one points
+    at, so a tree of depth n takes about log2(n) joins.  Parents in a circle never
+    reach the root and end with the first round that brings nobody there.
     """
-    links = processes.select("pid", "parent").where("pid <> parent").distinct().persist()
-    levels = [processes.where(F.col("pid") == root).select("pid").distinct()]
+    state = processes.groupBy("pid").agg(F.min("parent").alias("parent"))
+    state = state.select("pid", F.when(F.col("pid") == root, F.col("pid")).otherwise(F.col("parent")).alias("up"), F.when(F.col("pid") == root, 0).otherwise(1).alias("depth")).persist()
+    reached = state.where(F.col("up") == root).count()
     while True:
-        level = links.join(levels[-1].select(F.col("pid").alias("parent")), "parent", "left_semi").select("pid").distinct()
-        for above in levels:  # kept in memory, and no more of them than the tree is deep
-            level = level.join(above, "pid", "left_anti")
-        level = level.persist()
-        if not level.count():
-            break
-        levels.append(level)
-    out = levels[0].withColumn("depth", F.lit(0))
-    for depth, level in enumerate(levels[1:], 1):
-        out = out.unionByName(level.withColumn("depth", F.lit(depth)))
-    return out
+        above = state.select(F.col("pid").alias("up"), F.col("up").alias("__up"), F.col("depth").alias("__d"))
+        further = state.join(above, "up").select("pid", F.col("__up").alias("up"), (F.col("depth") + F.col("__d")).alias("depth")).persist()
+        now = further.where(F.col("up") == root).count()
+        state = further
+        if now == reached:
+            return state.where(F.col("up") == root).select("pid", "depth")
+        reached = now
 
 
 def of_tree(connections: DataFrame, tree: DataFrame) -> DataFrame:
