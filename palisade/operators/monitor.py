@@ -54,6 +54,17 @@ def kill_chain(canary: DataFrame, network: DataFrame, by: list[str]) -> DataFram
     return rows.withColumn("verdict", verdict(F.col("canary"), F.col("unexpected"), F.col("critical")))
 
 
+def outside(opened: DataFrame, folder: str) -> DataFrame:
+    """Open files that aren't below ``folder``, such as a home that was laid out as a trap."""
+    return opened.where(~T.under(F.col("path"), F.lit(folder)))
+
+
+def has_issues(verdict: Column, reads: Column, writes: Column, failed: Column, unexpected: Column, strict: bool = False) -> Column:
+    """Whether a run needs a look: a warning or a block always, else sensitive reads, writes outside, a command that failed, and with ``strict`` any unexpected connection."""
+    own = (reads > 0) | (writes > 0) | failed
+    return verdict.isin("warn", "block") | own | ((unexpected > 0) if strict else F.lit(False))
+
+
 def tampered(before: DataFrame, after: DataFrame) -> DataFrame:
     """(path, state) of canaries that are gone, changed or unreadable; both sides have (path, hash)."""
     rows = before.join(after.select("path", F.col("hash").alias("now"), F.lit(True).alias("there")), "path", "left")

@@ -79,7 +79,7 @@ def text_report(findings: DataFrame, order: list[str], most: int | None = None,
 
 def wrapped(text, width: int):
     """Text broken at spaces into lines of at most ``width`` characters, where words allow it."""
-    return F.rtrim(F.regexp_replace(text, rf"(.{{1,{width - 1}}}\S)(?:\s+|$)", "$1\n"))
+    return F.regexp_replace(F.regexp_replace(text, rf"(.{{1,{width - 1}}}\S)(?:\s+|$)", "$1\n"), r"\n$", "")
 
 
 def sarif_level(severity):

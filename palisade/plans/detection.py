@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from .. import rules
 from ..functions import text as T
-from ..operators import ast_rows, hygiene, monitor, patterns, report, secrets, triage, workflows
+from ..operators import ast_rows, hygiene, monitor, patterns, preflight, report, secrets, triage, workflows
 from ..sources import files, lockfiles, observations
+from ..streaming import monitor as stream
 from .catalogue import SQL_ENTROPY, SQL_FINDINGS, doc_lines, findings, query, sql_text, table
 
 
@@ -352,3 +353,43 @@ def rule_glossary(spark, d):
 def tree_connections(spark, d):
     processes = table(spark, d, "customer").select(F.col("c_custkey").alias("pid"), F.floor(F.col("c_custkey") / 3).alias("parent"))
     return monitor.of_tree(table(spark, d, "events").select("event_id", F.col("user_id").alias("pid")), monitor.process_tree(processes, 1)).select("event_id")
+
+
+TODAY = "2024-01-30"
+
+
+@query(f"""with f as (select distinct l_partkey as p, l_suppkey as v, max(l_shipdate::date) over (partition by l_partkey) as published from lineitem), t as (select greatest(max(l_shipdate::date), date '{TODAY}') as today from lineitem)
+ select 'pkg' || p as name, v::varchar as version, 'T002' as rule_id from f, t where date_diff('day', published, today) between 0 and 400
+ union all select 'pkg' || p, v::varchar, 'T004' from f where p % 3 <> 0""")
+def release_checks(spark, d):
+    rows = table(spark, d, "lineitem").select(F.col("l_partkey").alias("p"), F.col("l_suppkey").cast("string").alias("version"), F.to_date("l_shipdate").alias("shipped"))
+    named = rows.select(F.lit("npm").alias("ecosystem"), F.concat(F.lit("pkg"), F.col("p").cast("string")).alias("name"), "version", "p", "shipped")
+    links = F.when(F.col("p") % 3 == 0, F.array(F.lit("HOMEPAGE"), F.lit("SOURCE_REPO"))).when(F.col("p") % 3 == 1, F.array(F.lit("HOMEPAGE")))
+    facts = named.groupBy("ecosystem", "name", "p").agg(F.max("shipped").alias("published")).join(named.select("name", "version").distinct(), "name").select("ecosystem", "name", "version", "published", links.alias("labels"))
+    today = rows.agg(F.greatest(F.max("shipped"), F.lit(TODAY).cast("date")).alias("today")).first()["today"]
+    return preflight.releases(named, facts, F.lit(today), 400).select("name", "version", "rule_id")
+
+
+@query("select 'o' || s_nationkey || '/r' || s_suppkey || '/sub@v' || s_suppkey % 3 as action, case when s_suppkey % 3 = 0 then 'tag' || s_suppkey when s_suppkey % 3 = 1 then 'target' || s_suppkey else 'head' || s_suppkey end as sha from supplier")
+def resolved_actions(spark, d):
+    s, n, m = F.col("s_suppkey").cast("string"), F.col("s_nationkey").cast("string"), F.col("s_suppkey") % 3
+    base = table(spark, d, "supplier").select(F.concat(F.lit("o"), n, F.lit("/r"), s).alias("repository"), F.concat(F.lit("v"), m.cast("string")).alias("ref"), s.alias("s"), m.alias("m"))
+    kinds = base.withColumn("kind", F.explode(F.when(F.col("m") == 2, F.array(F.lit("heads"))).otherwise(F.array(F.lit("heads"), F.lit("tags")))))
+    refs = kinds.select("repository", "ref", "kind", F.concat(F.left("kind", F.length("kind") - 1), "s").alias("sha"), F.when((F.col("kind") == "tags") & (F.col("m") == 1), F.concat(F.lit("target"), "s")).alias("target"))
+    return preflight.resolved(base.select(F.concat("repository", F.lit("/sub@"), "ref").alias("action")), refs)
+
+
+@query("""with s as (select user_id, count_if(event_type = 'error') as canary, count_if(event_type = 'view') as unexpected, count_if(event_type = 'purchase') as reads from events group by 1),
+ v as (select *, case when canary > 0 and unexpected > 0 then 'block' when canary > 0 then 'warn' when unexpected > 0 then 'info' else 'pass' end as verdict from s)
+ select user_id, verdict, verdict in ('warn', 'block') or reads > 0 or user_id % 5 = 0 as issues, verdict in ('warn', 'block') or reads > 0 or user_id % 5 = 0 or unexpected > 0 as strict_issues from v""")
+def run_issues(spark, d):
+    count = lambda x: F.count_if(F.col("event_type") == x)
+    rows = table(spark, d, "events").groupBy("user_id").agg(count("error").alias("canary"), count("view").alias("unexpected"), count("purchase").alias("reads"))
+    rows = rows.withColumn("verdict", monitor.verdict(F.col("canary"), F.col("unexpected"), F.lit(0)))
+    issues = lambda strict: monitor.has_issues(F.col("verdict"), F.col("reads"), F.lit(0), F.col("user_id") % 5 == 0, F.col("unexpected"), strict)
+    return rows.select("user_id", "verdict", issues(False).alias("issues"), issues(True).alias("strict_issues"))
+
+
+@query("select user_id, begin, count(*) as n from (select user_id, ts, last_value(case when gap then ts end ignore nulls) over (partition by user_id order by ts rows between unbounded preceding and current row) as begin from (select user_id, ts, coalesce(ts - lag(ts) over (partition by user_id order by ts) >= interval 6 hour, true) as gap from events)) group by 1, 2")
+def event_sessions(spark, d):
+    return stream.sessions(table(spark, d, "events"), "user_id", "6 hours").select("user_id", "begin", "n")

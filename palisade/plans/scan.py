@@ -93,7 +93,7 @@ def _dependencies(locks: DataFrame, advisories: DataFrame | None, popular: DataF
         found = found.unionByName(_shaped(rows, "deps"))
     if popular is not None:
         rows = dependencies.lookalikes(locks.select("name"), popular)
-        rows = rows.select(F.lit("T002").alias("rule_id"), F.lit("high").alias("severity"), F.concat(F.lit("one letter away from "), "like").alias("message"), F.col("name").alias("package"))
+        rows = rows.select(F.lit("T001").alias("rule_id"), F.lit("high").alias("severity"), F.concat(F.lit("one letter away from "), "like").alias("message"), F.col("name").alias("package"))
         found = found.unionByName(_shaped(rows, "deps"))
     return found
 

@@ -52,7 +52,7 @@ def test_every_detector_is_in_the_scan(spark):
     rule = {"id": "X1", "severity": "low", "file_patterns": ["*.js"], "content_patterns": ["beware"]}
     report = scan.scan(deps, own_sources=own, locks=locks, advisories=advisories, popular=popular, listing=listing, ignore_lines=ignores, ignored=listing.where("path = 'yarn.lock'"), branches=branches, binaries=modules, user_rules=[rule])
     got = {(r.category, r.rule_id) for r in report.findings.collect()}
-    want = {"patterns": "P002 P003 P004 P007 P009 P016 P025 X1", "secrets": "S001 S022", "deps": "MAL:MAL-1 T002 T007 D001", "hygiene": "H001 H002 H003 H004"}
+    want = {"patterns": "P002 P003 P004 P007 P009 P016 P025 X1", "secrets": "S001 S022", "deps": "MAL:MAL-1 T001 T007 D001", "hygiene": "H001 H002 H003 H004"}
     assert {(c, r) for c, rs in want.items() for r in rs.split()} <= got
     assert [r.file for r in report.findings.where("rule_id = 'P007'").collect()] == ["node_modules/evil/deep.js"]
     assert report.findings.where("rule_id = 'S022'").count() == 2 and report.findings.where("rule_id = 'S001'").count() == 1

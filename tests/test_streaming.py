@@ -33,3 +33,22 @@ def test_connections_once(spark, tmp_path):
     q = live.writeStream.format("memory").queryName("once").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert spark.table("once").count() == shaped(table).select("remote_host", "remote_port", "pid").distinct().count()
+
+
+def test_sessions_files_and_trees(spark, tmp_path):
+    table = spark.read.parquet(f"{FOLDER}/events.parquet")
+    table.write.parquet(str(tmp_path / "in"))
+    live = lambda: stream.events(spark, str(tmp_path / "in"), table.schema)
+    run = lambda rows, name: rows.writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start().awaitTermination(120)
+    run(stream.files_once(live().select("ts", F.col("user_id").alias("pid"), F.col("event_type").alias("path")), "40 days"), "files")
+    assert spark.table("files").count() == table.select("user_id", "event_type").distinct().count()
+    run(stream.sessions(live(), "user_id", "6 hours", "1 hour"), "sessions")
+    whole = {tuple(r) for r in stream.sessions(table, "user_id", "6 hours").collect()}
+    some = {tuple(r) for r in spark.table("sessions").collect()}  # the last ones stay open
+    assert some and some <= whole
+    seen = []
+    processes = spark.createDataFrame([(1, 0), (2, 1), (3, 2), (8, 9), (9, 8)], "pid long, parent long")
+    stream.within_tree(lambda: processes, 1, lambda b, _: seen.extend(r.user_id for r in b.collect()))(table.withColumn("pid", F.col("user_id")), 0)
+    assert seen and set(seen) <= {1, 2, 3}
+    assert {tuple(r) for r in batch.process_tree(processes, 1).collect()} == {(1, 0), (2, 1), (3, 2)}
+    assert batch.process_tree(processes, 77).isEmpty()
