@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import fresh, slices, steady
 
 # Phrases and their labels.
 PHRASES = {
@@ -116,21 +116,34 @@ class Automaton:
             yield before + 1, n, state
 
 
-def covered(runs, automaton: Automaton, sizes: list[int], gap: int = GAP) -> list[tuple[int, int, int, int]]:
-    """Chains (template, start, end, template words covered) of runs that go on in both texts with at most ``gap`` words between."""
-    chains: dict[int, list[list[int]]] = {}
+def covered(runs, automaton: Automaton, gap: int = GAP) -> list[tuple[int, int, int, int, list]]:
+    """Chains (template, start, end, template words covered, their ranges) of runs that go on in both texts with at most ``gap`` words between.
+
+    A run goes on with the latest chain of its template that it can; chains that end
+    too far back for any later run are closed, so few are looked at.
+    """
+    open_: dict[int, list[list]] = {}
+    done: list[list] = []
     for end, n, state in runs:
         for i, stop in sorted(automaton.ends[state]):
-            own = chains.setdefault(i, [])
             start = end - n
-            for c in reversed(own[-4:]):
+            own = open_.get(i, [])
+            done += [c for c in own if c[2] + gap < start]
+            own = open_[i] = [c for c in own if c[2] + gap >= start]
+            for c in reversed(own):
                 skip = max(0, c[2] - start, c[4] - (stop - n))  # what the two runs share
                 if skip < n and 0 <= start + skip - c[2] <= gap and stop - n + skip >= c[4]:
                     c[2], c[3], c[4] = end, c[3] + n - skip, stop
+                    c[5].append((stop - n + skip, stop))
                     break
             else:
-                own.append([i, start, end, n, stop])
-    return [(i, a, b, n) for own in chains.values() for i, a, b, n, _ in own]
+                own.append([i, start, end, n, stop, [(stop - n, stop)]])
+    return [(i, a, b, n, ranges) for i, a, b, n, _, ranges in sorted(done + [c for own in open_.values() for c in own], key=lambda c: c[:3])]
+
+
+def numbers_covered(template: list[bytes], ranges: list[tuple[int, int]]) -> bool:
+    """Whether every number among a template's words is covered: another version is another licence."""
+    return all(any(a <= k < b for a, b in ranges) for k, w in enumerate(template) if w.isdigit())
 
 
 def _scan(templates: list[tuple[str, str]], phrases: list[tuple[str, str]], keep: int, schema_names: list[str]):
@@ -149,8 +162,8 @@ def _scan(templates: list[tuple[str, str]], phrases: list[tuple[str, str]], keep
                 w = words(text)
                 hits = [i for i, x in enumerate(w) if x in ask] if not ask.isdisjoint(w) else []
                 base = [{"start": i, "end": i + len(p), "label": label} for i in hits for p, label in starts.get(w[i], ()) if w[i : i + len(p)] == p]
-                chains = covered(automaton.runs(w, [i for i in hits if w[i] in known], LEAST_RUN), automaton, sizes) if hits else []
-                found = [{"start": a, "end": b, "label": templates[i][0], "cover": min(1.0, n / sizes[i])} for i, a, b, n in chains]
+                chains = covered(automaton.runs(w, [i for i in hits if w[i] in known], LEAST_RUN), automaton) if hits else []
+                found = [{"start": a, "end": b, "label": templates[i][0], "cover": min(1.0, n / sizes[i])} for i, a, b, n, ranges in chains if numbers_covered(texts[i], ranges)]
                 out[0].append(len(w))
                 out[1].append(base)
                 out[2].append([x for x in found if x["cover"] >= LEAST_COVER])
@@ -167,13 +180,15 @@ def scan(docs: DataFrame, keep: list[str], text: str = "text", templates: dict[s
 
     phrases: places (start, end, label; words from 0, ends exclusive) where a
     phrase's words stand in a row; overlapping places all count.  spans: chains of
-    matches that cover LEAST_COVER of a template or more, with their share; cover is
-    the largest share of any chain, 0 without one.  Runs have LEAST_RUN words or more
+    matches that cover LEAST_COVER of a template or more and all its numbers, with
+    their share; cover is the largest share of any chain with all numbers, 0 without one.  Runs have LEAST_RUN words or more
     and chains at most GAP words between runs.  A null or empty text has no word and
     no find; repeated rows are scanned each.
     """
-    rows = docs.select(*keep, F.col(text).alias("__text"))
-    out = rows.drop("__text").schema.add("n_words", "long")
+    steady(docs.sparkSession)
+    own = fresh(docs, "__text")
+    rows = docs.select(*keep, F.col(text).alias(own))
+    out = rows.drop(own).schema.add("n_words", "long")
     rest = "phrases array<struct<start:long,end:long,label:string>>, spans array<struct<start:long,end:long,label:string,cover:double>>, cover double"
     from pyspark.sql.types import StructType
 
