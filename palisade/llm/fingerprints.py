@@ -1,9 +1,9 @@
 """Document fingerprints by one-permutation MinHash, in DataFrame functions only.
 
 Each shingle of five words is hashed once; the top bits of the hash name one of
-BINS bins and a bin keeps its smallest hash.  An empty bin takes the value of the
-bin that a hash of (bin, attempt) names first among those that aren't empty
-(optimal densification).  Four low-order bits of each value are stored, one hex
+BINS bins and a bin keeps its smallest hash.  An empty bin asks bins in
+the order in which an endless sequence of hashes of (bin, attempt) names them first,
+and takes the value of the first that isn't empty (optimal densification).  Four low-order bits of each value are stored, one hex
 digit a bin, and likeness is corrected for bits that agree by chance.
 """
 
@@ -17,16 +17,31 @@ from pyspark.sql import functions as F
 from .common import cut
 
 SHINGLE, BINS, BITS = 5, 128, 4
-TRIES = 16
+TRIES = 16  # bins that are asked before all others are looked at
 BLOCK, SUPER = 256, 1000
 SMALL = 100_000  # rows of the table of blocks up to which it is broadcast
 SEPARATORS = "[^\\p{L}\\p{N}_]+"
 
 
-def _probes(bins: int = BINS, tries: int = TRIES) -> Column:
-    """Bins to try for each empty bin: a constant table that a hash of (bin, attempt) gives."""
-    row = lambda j: F.transform(F.sequence(F.lit(1), F.lit(tries)), lambda t: F.pmod(F.xxhash64(j, t), F.lit(bins)).cast("int"))
-    return F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), row)
+def probes(bins: int = BINS) -> list[list[int]]:
+    """For each bin the others in the order in which the hashes of (bin, 1), (bin, 2), ... name them first; constants, worked out on the driver."""
+    table = []
+    for j in range(bins):
+        seen, t = [j], 0
+        while len(seen) < bins:
+            t += 1
+            x = (j * 0x9E3779B97F4A7C15 + t * 0xD1B54A32D192ED03) % 2**64
+            x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 % 2**64
+            x = (x ^ x >> 27) * 0x94D049BB133111EB % 2**64
+            if (at := (x >> 32) % bins) not in seen:
+                seen.append(at)
+        table.append(seen[1:])
+    return table
+
+
+def _constant(table: list[list[int]]) -> Column:
+    """A table of numbers of one width as a flat array, folded into one literal at planning."""
+    return F.split(F.lit(",".join(str(x) for row in table for x in row)), ",").cast("array<int>")
 
 
 def _let(value: Column, body) -> Column:
@@ -34,7 +49,7 @@ def _let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def fingerprint(text: Column, probes: list[list[int]], bins: int = BINS) -> Column:
+def fingerprint(text: Column, order: list[list[int]], bins: int = BINS) -> Column:
     """An array of ``bins`` numbers below 16, empty for a text without a word.
 
     Words are runs of letters, digits and underscores, lower-cased; fewer than five
@@ -42,7 +57,7 @@ def fingerprint(text: Column, probes: list[list[int]], bins: int = BINS) -> Colu
     """
     shift = 64 - int(math.log2(bins))
     bin_of = lambda x: F.shiftrightunsigned(x, shift).cast("int")
-    table = F.array(*[F.array(*[F.lit(x) for x in p]) for p in probes])
+    soon, late = _constant([row[:TRIES] for row in order]), _constant([row[TRIES:] for row in order])
 
     def hashes(w: Column) -> Column:
         n = F.size(w)
@@ -58,8 +73,8 @@ def fingerprint(text: Column, probes: list[list[int]], bins: int = BINS) -> Colu
     def dense(v: Column) -> Column:
         here = lambda p: F.get(v, p)
         hit = lambda ps: here(F.get(F.filter(ps, lambda p: here(p).isNotNull()), F.lit(0)))
-        after = lambda j: F.transform(F.sequence(F.lit(1), F.lit(bins - 1)), lambda t: F.pmod(j + t, F.lit(bins)))
-        return F.transform(v, lambda x, j: F.coalesce(x, hit(F.get(table, j)), hit(after(j))))
+        part = lambda flat, j, n: F.slice(flat, j * n + 1, F.lit(n))
+        return F.transform(v, lambda x, j: F.coalesce(x, hit(part(soon, j, TRIES)), hit(part(late, j, bins - 1 - TRIES))))
 
     spread = lambda m: F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda j: F.try_element_at(m, j))
     words = F.filter(F.split(F.lower(text), SEPARATORS), lambda x: x != "")
@@ -117,14 +132,14 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     low, high = low or 0, high or 0
     span = max(1.0, (high - low + 1) / max(1, -(-n // BLOCK)))
     rows = rows.withColumn("block", F.coalesce(F.floor((F.col("id").cast("double") - F.lit(float(low))) / F.lit(span)), F.lit(-1)).cast("long"))
-    probes = docs.sparkSession.range(1).select(_probes().alias("p")).first()[0]
-    every = _following(rows).withColumn("fp", fingerprint(F.col("text"), probes))
+    table = probes()
+    every = _following(rows).withColumn("fp", fingerprint(F.col("text"), table))
     order = Window.partitionBy("block").orderBy("tail", F.asc_nulls_first("id"), "text")
     every = every.withColumn("next", F.lead("text").over(order)).withColumn("next_fp", F.lead("fp").over(order)).where("not tail")
     length = F.char_length("text")
     quarter = F.expr("char_length(text) div 4").cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), (length - quarter).cast("int")), F.substring(F.col("next"), F.lit(1), quarter))
-    every = every.withColumn("edited", edited).withColumn("efp", fingerprint(F.col("edited"), probes))
+    every = every.withColumn("edited", edited).withColumn("efp", fingerprint(F.col("edited"), table))
     return every.select(
         F.col("id").alias("doc_id"), length.cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), packed("fp").alias("fingerprint"), packed("efp").alias("edited_fingerprint"),
         likeness("fp", "efp").alias("near_edited"), likeness("fp", "next_fp").alias("near_next"),
