@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import blocks, cut, remainder, slices
+from .common import blocks, cut, fresh, remainder, slices, steady
 
 PROFILE = 300
 MAX_LANGUAGES = 1000
@@ -164,8 +164,10 @@ def identify(docs: DataFrame, model, text: str = "text", keep: list[str] | None
     Repeated rows are judged alike.  One scan, no shuffle.
     """
     langs, ranks = model
-    taken = docs.select(*(keep or docs.columns), F.col(text).alias("__text")) if keep else docs.withColumn("__text", F.col(text))
-    out = taken.drop("__text").schema
+    steady(docs.sparkSession)
+    own = fresh(docs, "__text")
+    taken = docs.select(*keep, F.col(text).alias(own)) if keep else docs.withColumn(own, F.col(text))
+    out = taken.drop(own).schema
     for name, kind in zip(into, ("string", "double")):
         out = out.add(name, kind)
     n = len(taken.columns) - 1
@@ -217,6 +219,7 @@ def speaking(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", lang:
     model = learn(taught, text, lang)
     own = taught.select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang")).where("lang is not null and text is not null")
     each, other = least_scores(identify(own, model, keep=["lang"]))
+    pred, score = fresh(docs, "__lang_pred"), fresh(docs, "__score")
     pairs = [F.lit(x) for pair in each.items() for x in pair]
-    least = F.coalesce(F.create_map(*pairs)[F.col("__lang_pred")], F.lit(other)) if pairs else F.lit(other)
-    return identify(docs, model, text, into=("__lang_pred", "__score")).where((F.col("__lang_pred") != "und") & (F.col("__score") >= least)).drop("__lang_pred", "__score")
+    least = F.coalesce(F.create_map(*pairs)[F.col(pred)], F.lit(other)) if pairs else F.lit(other)
+    return identify(docs, model, text, into=(pred, score)).where((F.col(pred) != "und") & (F.col(score) >= least)).drop(pred, score)

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, keyed
+from .common import cut, fresh, keyed
 
 TOKEN = "[^\\x20\\x09-\\x0D]+"
 NULL = "(null)"
@@ -163,4 +163,5 @@ def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
     """The rows of ``docs`` in the mixture, as often as they are read, with their columns as they are."""
     rows = cut(_prepared(docs, doc_id, text, lang, source))
     out = mix(rows, ["domain", "lang", "source"], _weights(docs.sparkSession), share, epochs, seed).select("__row")
-    return docs.withColumn("__row", F.monotonically_increasing_id()).join(out, "__row").drop("__row")
+    row = fresh(docs, "__row")
+    return docs.withColumn(row, F.monotonically_increasing_id()).join(out.toDF(row), row).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import blocks, cut, slices
+from .common import blocks, cut, fresh, slices, steady
 from .near_dup import _powers, mix
 
 WINDOW, END = 2048, 1
@@ -238,8 +238,10 @@ def _tokens(vocabulary: str, end: int, names: list[str]):
 
 def tokenized(docs: DataFrame, keep: list[str], text: str, vocabulary: str, end: int = END) -> DataFrame:
     """Columns ``keep`` and each whole text's ids (with the end), their number and their place within the partition."""
-    rows = docs.select(*keep, F.col(text).alias("__text"))
-    out = rows.drop("__text").schema.add("__part", "integer").add("__before", "long").add("__n", "long").add("__ids", "binary")
+    steady(docs.sparkSession)
+    own = fresh(docs, "__text")
+    rows = docs.select(*keep, F.col(text).alias(own))
+    out = rows.drop(own).schema.add("__part", "integer").add("__before", "long").add("__n", "long").add("__ids", "binary")
     return rows.mapInArrow(_tokens(vocabulary, end, out.names), out)
 
 

@@ -8,6 +8,8 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import regex
+import xxhash
 import pytest
 from pyspark.sql import functions as F
 
@@ -148,6 +150,45 @@ def test_licenses(spark, edges, empty):
     assert licenses.digests(empty).isEmpty()
 
 
+def test_chains_equal_brute_force():
+    r = random.Random(4)
+    for _ in range(60):
+        texts = [[b"%d" % r.randint(0, 5) for _ in range(r.randint(4, 14))] for _ in range(3)]
+        stream = [b"%d" % r.randint(0, 6) for _ in range(120)]
+        at = r.randint(0, 80)
+        stream[at : at + len(texts[0])] = texts[0]
+        places = {}
+        for i, t in enumerate(texts):
+            for a in range(len(t)):
+                for b in range(a + 1, len(t) + 1):
+                    places.setdefault(tuple(t[a:b]), set()).add((i, b))
+        longest = [max(n for n in range(e + 1) if not n or tuple(stream[e - n : e]) in places) for e in range(len(stream) + 1)]
+        ends = [e for e in range(1, len(stream) + 1) if longest[e] >= 3 and (e == len(stream) or longest[e + 1] != longest[e] + 1)]
+        chains = []
+        for e in ends:
+            n = longest[e]
+            for i, stop in sorted(places[tuple(stream[e - n : e])]):
+                for c in reversed([c for c in chains if c[0] == i]):
+                    skip = max(0, c[2] - (e - n), c[4] - (stop - n))
+                    if skip < n and 0 <= e - n + skip - c[2] <= licenses.GAP and stop - n + skip >= c[4]:
+                        c[2], c[3], c[4] = e, c[3] + n - skip, stop
+                        break
+                else:
+                    chains.append([i, e - n, e, n, stop])
+        auto = licenses.Automaton(texts)
+        known = {w for t in texts for w in t}
+        got = licenses.covered(auto.runs(stream, [k for k, w in enumerate(stream) if w in known], 3), auto)
+        assert sorted(c[:4] for c in got) == sorted(tuple(c[:4]) for c in chains)
+
+
+def test_many_chains_and_numbers(spark):
+    head, tail = "redistribution and use in source and binary forms", "with or without modification are permitted provided that the following conditions are met"
+    mix = " ".join([head] * 6) + " " + tail  # five chains begin before the one that goes on
+    rows = [(1, mix, "en", "s"), (2, "This work is licensed under the GNU General Public License, version 2", "en", "s"), (3, "This work is licensed under the GNU General Public License, version 3", "en", "s")]
+    got = {r.doc_id: r for r in licenses.digests(table(spark, rows)).collect()}
+    assert "bsd" in got[1].labels and got[2].labels == "gpl" and got[3].labels == "gpl,gpl-3.0"
+
+
 # --- 3 fingerprints ------------------------------------------------------------------------
 
 def test_fingerprints(edges, edge_rows, empty):
@@ -167,10 +208,36 @@ def test_fingerprints(edges, edge_rows, empty):
     assert fingerprints.fingerprints(empty).isEmpty()
 
 
+def brute_fingerprint(text):
+    w = regex.findall(r"[\p{L}\p{N}_]+", text.lower())
+    if not w:
+        return ""
+    h = []
+    for i in range(len(w) - 4):
+        x = 42
+        for word in w[i : i + 5]:
+            x = xxhash.xxh64_intdigest(word.encode(), x)
+        h.append(x)
+    h = h or [xxhash.xxh64_intdigest(" ".join(w).encode(), 42)]
+    least = {}
+    for x in h:
+        least[x >> 57] = min(x, least.get(x >> 57, x))
+    order = fingerprints.probes()
+    return "".join(f"{least[next(b for b in [j, *order[j]] if b in least)] & 15:x}" for j in range(128))
+
+
+def test_fingerprint_equals_brute_force(spark):
+    texts = ["", "?!", "one", "Ünö dos_3 TRES", "a b c d e"] + [" ".join(words(k, n, 3000)) for k, n in enumerate((5, 6, 9, 20, 60, 200, 3000))]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.fingerprint for r in fingerprints.fingerprints(rows).collect()}
+    assert got == {i: brute_fingerprint(t) for i, t in enumerate(texts)}
+    assert all(sorted([j, *row]) == list(range(128)) for j, row in enumerate(fingerprints.probes()))
+
+
 def test_fingerprint_estimates_likeness(spark):
     text = words(9, 2000, 4000)
     other = text[:1500] + words(10, 500, 4000)
-    probes = spark.range(1).select(fingerprints._probes().alias("p")).first()[0]
+    probes = fingerprints.probes()
     row = spark.createDataFrame([(" ".join(text), " ".join(other))], "a string, b string").select(fingerprints.fingerprint(F.col("a"), probes).alias("a"), fingerprints.fingerprint(F.col("b"), probes).alias("b")).select(fingerprints.likeness("a", "b")).first()
     shingles = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
     x, y = shingles(text), shingles(other)
@@ -379,6 +446,15 @@ def test_model_beats_counts_on_held_out(spark):
     assert sum(r.score for r in rows) > sum(r.base_score for r in rows)
 
 
+def test_long_texts_are_cut_at_ascii_white_space_only():
+    from palisade.llm.common import blocks
+
+    text = "a" * (1 << 20) + "\u00a0b\x1cd c" + " e" * 1_200_000
+    assert "".join(blocks(text)) == text and len(list(blocks(text))) > 2
+    assert len(language_model.token_ids(text)) == len(re.findall(r"[^\x20\x09-\x0D]+", text)) + 1
+    assert len(near_dup.word_ids(text)) == len(re.findall(r"\w+", text))
+
+
 def test_model_is_trained_on_all_tokens(spark, tmp_path):
     r = np.random.default_rng(6)
     units = [r.integers(0, 100, 270).astype(np.uint16) for _ in range(4500)] + [r.integers(0, 100, 5000).astype(np.uint16)]
@@ -467,6 +543,17 @@ def test_repeats_by_window_where_cores_are_hot(spark, edge_rows):
     assert a == b and any(n for n, _ in a.values())
 
 
+def test_columns_of_any_name(spark, empty):
+    text = " ".join(words(3, 200, 900))
+    docs = spark.createDataFrame([(1, text, "en", "s", 1, "x", 2), (2, text, "en", "s", 3, "y", 4), (3, "one two", "en", "s", 5, None, 6)], "doc_id long, text string, lang string, source string, __row long, __TEXT string, __high long")
+    assert sorted((r.doc_id, r["__row"], r["__TEXT"]) for r in near_dup.deduplicate(docs).collect()) == [(1, 1, "x"), (3, 5, None)]
+    out = suffix_dedup.without_repeats(docs)
+    assert out.columns == docs.columns and sorted((r.doc_id, r.text, r["__row"], r["__high"]) for r in out.collect()) == [(1, "", 1, 2), (2, "", 3, 4), (3, "one two", 5, 6)]
+    kept = language_id.speaking(docs)
+    assert kept.columns == docs.columns and kept.count() == 3
+    assert mixing.mixed(docs).columns == docs.columns
+
+
 def test_repeats_edges(edges, empty):
     out = suffix_dedup.without_repeats(edges)
     assert out.columns == edges.columns and out.count() == edges.count()
