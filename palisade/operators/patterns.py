@@ -61,7 +61,8 @@ def entropy_hits(lines: DataFrame, key: str, longer: int = rules.LONG_TOKEN, bit
     """
     words = lines.select(key, "line_no", F.posexplode(F.split("line", r"\s+")).alias("place", "word"))
     words = words.withColumn("token", F.regexp_replace("word", r"""^["'`]+|["'`]+$""", "")).withColumn("n_bytes", F.octet_length("token")).where(F.col("n_bytes") > longer)
-    words = words.withColumn("bits", T.entropy(F.col("token"))).where(F.col("bits") > bits)
+    # a row number beside it keeps the filter above the entropy, which is so worked out once
+    words = words.withColumns({"bits": T.entropy(F.col("token")), "__n": F.monotonically_increasing_id()}).where((F.col("bits") > bits) & (F.col("__n") >= 0))
     first = words.withColumn("k", F.row_number().over(Window.partitionBy(key, "line_no").orderBy("place"))).where("k = 1")
     return first.withColumn("k", F.row_number().over(Window.partitionBy(key).orderBy("line_no"))).where(F.col("k") <= most).select(key, "line_no", "token", "n_bytes", "bits")
 
