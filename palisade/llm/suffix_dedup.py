@@ -362,6 +362,7 @@ def touched(rows: DataFrame, length: int = LENGTH, hot: int = HOT, words: int =
     # marks whose gram stands elsewhere, with copies of a run folded
     grams = marks.groupBy("gram").agg(F.count("*").alias("t"), F.min("row").alias("first"), F.max("row").alias("last"))
     grams = grams.where("gram & 1 = 0 and t > 1 or gram & 1 = 1 and first < last").select("gram")
+    grams = cut(grams)  # as a table of its own, so that the join can split a gram that many runs have
     marks = cut(marks.join(grams, "gram", "left_semi"))
     kinds = marks.groupBy("gram", "x").agg(F.count("*").alias("n"), *[f(F.struct("row", "lo", "hi", "place")).alias(x) for f, x in ((F.min, "rep"), (F.max, "top"))])
     grams = kinds.groupBy("gram").agg(F.count("*").alias("kinds"))
