@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, steady
 
 TILE, QUERIES, GROUPS = 2048, 256, 64
 
@@ -132,9 +132,10 @@ def search(queries: DataFrame, candidates: DataFrame, k: int = 10) -> DataFrame:
 
     Candidate tiles are dealt into groups, and each group meets a copy of the query
     blocks, which are a hundredth of the table; both sides are shuffled, as the
-    copies grow with the table and their size is underestimated; a task holds one pair of blocks and
+    copies grow with the table and their size is underestimated; a task holds a batch of a few pairs of blocks and
     k results for each of its queries.
     """
+    steady(candidates.sparkSession)  # a pair of tiles has over a megabyte, so batches are bounded by bytes
     run, kind = _tiles(TILE)
     tiles = cut(valid(candidates.select("id", F.col("vec").cast("array<double>").alias("vec"))).select("id", "vec").mapInArrow(run, kind))
     run, kind = _tiles(QUERIES)
