@@ -19,6 +19,7 @@ from .common import cut
 SHINGLE, BINS, BITS = 5, 128, 4
 TRIES = 16  # bins that are asked before all others are looked at
 BLOCK, SUPER = 256, 1000
+QUANTILES = 4096  # ranges of doc_id with about as many rows each, which blocks divide further
 SMALL = 100_000  # rows of the table of blocks up to which it is broadcast
 SEPARATORS = "[^\\p{L}\\p{N}_]+"
 
@@ -39,9 +40,9 @@ def probes(bins: int = BINS) -> list[list[int]]:
     return table
 
 
-def _constant(table: list[list[int]]) -> Column:
+def _constant(table: list[list[int]], kind: str = "int") -> Column:
     """A table of numbers of one width as a flat array, folded into one literal at planning."""
-    return F.split(F.lit(",".join(str(x) for row in table for x in row)), ",").cast("array<int>")
+    return F.split(F.lit(",".join(str(x) for row in table for x in row)), ",").cast(f"array<{kind}>")
 
 
 def _let(value: Column, body) -> Column:
@@ -96,6 +97,29 @@ def likeness(a: str, b: str, bins: int = BINS) -> Column:
     return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(value)
 
 
+def _blocked(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``block``, a number that grows with the id and has about BLOCK rows; null ids are block -1.
+
+    Up to QUANTILES quantiles of the ids, all that reaches the driver, split them into
+    ranges, and each range is divided into blocks of equal width.  However unevenly
+    ids lie, a block of several ids has no more rows than a range; an id's rows stay together.
+    """
+    ask = [(j + 1) / QUANTILES for j in range(QUANTILES - 1)]
+    low, high, n, found = rows.agg(F.min("id"), F.max("id"), F.count("*"), F.percentile_approx("id", ask, 10 * QUANTILES)).first()
+    low, high = low or 0, high or 0
+    ranges = max(1, min(QUANTILES, -(-n // BLOCK)))
+    each = max(1, -(-n // (ranges * BLOCK)))
+    starts = sorted({low, *(found[i * QUANTILES // ranges - 1] for i in range(1, ranges) if found)})
+    widths = [b - a for a, b in zip(starts, [*starts[1:], high + 1])]
+    start, width = _constant([starts], "long"), _constant([widths], "double")
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(len(starts).bit_length()))])
+    later = lambda at, step: F.when(F.get(start, at + step) <= F.col("id"), at + step).otherwise(at)
+    range_of = F.aggregate(steps, F.lit(0), later)
+    inside = lambda q: F.floor((F.col("id").cast("double") - F.get(start, q).cast("double")) / F.get(width, q) * each).cast("long")
+    block = _let(range_of, lambda q: q.cast("long") * each + F.least(F.lit(each - 1).cast("long"), F.greatest(F.lit(0).cast("long"), inside(q))))
+    return rows.withColumn("block", F.when(F.col("id").isNull(), F.lit(-1).cast("long")).otherwise(block))
+
+
 def _following(rows: DataFrame) -> DataFrame:
     """``rows`` (id, text, block), and once more, as the tail of the block before, the first rows of every block.
 
@@ -128,12 +152,8 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     dealt out once; only each block's first rows go to a second block as well.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    low, high, n = rows.agg(F.min("id"), F.max("id"), F.count("*")).first()
-    low, high = low or 0, high or 0
-    span = max(1.0, (high - low + 1) / max(1, -(-n // BLOCK)))
-    rows = rows.withColumn("block", F.coalesce(F.floor((F.col("id").cast("double") - F.lit(float(low))) / F.lit(span)), F.lit(-1)).cast("long"))
     table = probes()
-    every = _following(rows).withColumn("fp", fingerprint(F.col("text"), table))
+    every = _following(_blocked(rows)).withColumn("fp", fingerprint(F.col("text"), table))
     order = Window.partitionBy("block").orderBy("tail", F.asc_nulls_first("id"), "text")
     every = every.withColumn("next", F.lead("text").over(order)).withColumn("next_fp", F.lead("fp").over(order)).where("not tail")
     length = F.char_length("text")

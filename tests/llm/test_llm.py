@@ -234,6 +234,21 @@ def test_fingerprint_equals_brute_force(spark):
     assert all(sorted([j, *row]) == list(range(128)) for j, row in enumerate(fingerprints.probes()))
 
 
+def test_fingerprint_blocks_of_uneven_ids(spark):
+    ids = [-(2**50), *range(6000), *range(10**9, 10**9 + 3000 * 1000, 1000), 2**40, 2**62, *[77] * 40, None, None]
+    rows = spark.createDataFrame([(i, f"text {k}") for k, i in enumerate(ids)], "id long, text string")
+    got = sorted(((r.id is not None, r.id or 0), r.block) for r in fingerprints._blocked(rows).collect())
+    assert [b for _, b in got] == sorted(b for _, b in got) and {b for (known, _), b in got if not known} == {-1}
+    sizes = Counter(b for _, b in got)
+    assert max(sizes.values()) <= 2 * fingerprints.BLOCK and len(sizes) < 200
+    edited = {r.doc_id: r.edited_sha256 for r in fingerprints.fingerprints(rows.withColumnRenamed("id", "doc_id")).collect()}
+    order = sorted(((i is not None, i or 0), f"text {k}") for k, i in enumerate(ids))
+    for k, ((known, i), t) in enumerate(order):
+        if known and i != 77:
+            nxt = order[(k + 1) % len(order)][1]
+            assert edited[i] == hashlib.sha256((t[: len(t) - len(t) // 4] + nxt[: len(t) // 4]).encode()).hexdigest()
+
+
 def test_fingerprint_estimates_likeness(spark):
     text = words(9, 2000, 4000)
     other = text[:1500] + words(10, 500, 4000)
