@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import regex
 import xxhash
 import pytest
@@ -314,6 +315,54 @@ def test_quality_keeps_few_bad_documents(spark):
     assert np.mean([r.keep for r in rows if r.quality]) > 0.99 and np.mean([r.keep for r in rows if not r.quality]) < 0.1
 
 
+def brute_model(texts):
+    """log10 probability by (history, symbol) of the interpolated model, from Counters; symbols are characters here."""
+    counts = [Counter(("\0" * (quality.ORDER - 1) + t)[i : i + quality.ORDER] for t in texts for i in range(len(t)))]
+    while len(counts) < quality.ORDER:
+        counts.append(Counter(g[1:] for g in counts[-1]))
+
+    def p(gram):
+        if not gram:
+            return 1 / quality.SYMBOLS
+        c = counts[quality.ORDER - len(gram)]
+        kinds = Counter(c.values())
+        y = kinds[1] / max(kinds[1] + 2 * kinds[2], 1)
+        off = [min(float(k), max(0.0, k - (k + 1) * y * kinds[k + 1] / max(kinds[k], 1))) for k in (1, 2, 3)]
+        own = {g: n for g, n in c.items() if g[:-1] == gram[:-1]}
+        d = lambda n: off[min(n, 3) - 1]
+        total = sum(own.values())
+        if not total:
+            return p(gram[1:])
+        return max(own.get(gram, 0) - (d(own[gram]) if gram in own else 0), 0) / total + sum(map(d, own.values())) / total * p(gram[1:])
+
+    return lambda t: sum(math.log10(p(("\0" * (quality.ORDER - 1) + t)[i : i + quality.ORDER])) for i in range(len(t)))
+
+
+def test_quality_learns_from_all_trusted_documents(spark):
+    texts = [" ".join(words(500 + i, 6)) for i in range(40)]
+    got = {r.doc_id: r for r in quality.judge(table(spark, [(i, t, "en", "s") for i, t in enumerate(texts)]), spark.createDataFrame([(i, 1) for i in range(39)], "doc_id long, quality int")).collect()}
+    model = brute_model(texts[:39])
+    assert all(got[i].log10_p == pytest.approx(model(texts[i]), abs=0.1) for i in (0, 7, 8, 21, 38, 39))
+    half = {r.doc_id: r.h for r in spark.range(39).select(F.col("id").alias("doc_id"), F.pmod(F.xxhash64("id"), F.lit(2)).alias("h")).collect()}
+    first = brute_model([texts[i] for i in half if half[i] == 0])
+    hardest = max(-first(texts[i]) / len(texts[i]) for i in half if half[i] == 1)
+    assert math.log10(got[39].threshold) == pytest.approx(hardest, abs=0.005)
+
+
+def test_quality_counts_that_go_on_early():
+    texts, table_ = [" ".join(words(700 + i, 30)) for i in range(9)], np.arange(65536) % quality.SYMBOLS
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])
+
+    def total(fold):
+        out = Counter()
+        for b in quality._counts(table_.astype(np.uint8), fold)([batch]):
+            for g, c in zip(*(x.to_pylist() for x in b.columns)):
+                out[g] += c
+        return out
+
+    assert total(quality.FOLD) == total(100) and total(100).total() == sum(map(len, texts))
+
+
 def test_model_is_a_distribution(spark):
     texts = spark.createDataFrame([(" ".join(words(20 + i, 50)),) for i in range(20)], "text string")
     table_, logs = quality.train(texts)
