@@ -415,6 +415,34 @@ def test_near_duplicates(spark, edges, edge_rows, empty):
     assert near_dup.class_of(empty).isEmpty() and near_dup.deduplicate(empty).isEmpty()
 
 
+def test_blocks_of_one_class_do_not_meet(spark, monkeypatch):
+    monkeypatch.setattr(near_dup, "BLOCK", 8)
+    r = random.Random(6)
+    rows = [(1, i, 0 if i < 300 else i, r.randint(1, 50)) for i in range(320)] + [(2, i, i % 2, 5) for i in range(6)] + [(3, i, 7, 5) for i in range(100)] + [(4, i, i, 5) for i in range(30)]
+    blocked = near_dup._blocked(spark.createDataFrame(rows, "key long, rep long, comp long, size long"))
+    packed = blocked.groupBy("key", "rest", "blocks", "block").agg(F.collect_list(F.struct("key", "rep", "comp")).alias("x"))
+    met, sent = Counter(), Counter()
+    for x, y in near_dup._meetings(packed).collect():
+        sent[x[0].key] += len(x) + len(y or [])
+        met.update(frozenset([(m.key, m.rep), (n.key, n.rep)]) for k, m in enumerate(x) for n in (y if y is not None else x[k + 1 :]) if m.comp != n.comp)
+    want = {frozenset([(k, i), (k, j)]) for k, i, c, _ in rows for q, j, d, _ in rows if k == q and i < j and c != d}
+    assert set(met) == want and set(met.values()) == {1}  # each two of different classes once
+    assert sent[1] < 6 * 320 and sent[3] == 0  # all blocks with all would send some 40 times as many
+
+
+@pytest.mark.parametrize("size", [3, 1 << 9])
+def test_near_duplicates_in_large_buckets(spark, monkeypatch, size):
+    monkeypatch.setattr(near_dup, "BLOCK", size)
+    rows = []
+    for k in range(90):  # texts that share buckets, in several classes
+        w, r = words(31, 120), random.Random(k)
+        for _ in range(r.choice((1, 4, 7))):
+            w[r.randrange(120)] = f"edit{r.random()}"
+        rows.append((k, " ".join(w), "en", "src0"))
+    got = {r.doc_id: r.class_id for r in near_dup.class_of(table(spark, rows)).collect()}
+    assert got == dict(enumerate(near_classes(rows)))
+
+
 def test_signatures_estimate_weighted_likeness():
     a = near_dup.units(near_dup.word_ids(" ".join(words(40, 1500, 3000))))
     r = np.random.default_rng(3)
