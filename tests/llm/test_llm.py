@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -349,6 +350,18 @@ def test_quality_learns_from_all_trusted_documents(spark):
     assert math.log10(got[39].threshold) == pytest.approx(hardest, abs=0.005)
 
 
+def test_quality_holds_one_model_at_a_time(spark):
+    docs = table(spark, [(i, " ".join(words(500 + i, 6)), "en", "s") for i in range(20)])
+    labels = spark.createDataFrame([(i, 1) for i in range(20)], "doc_id long, quality int")
+    tracemalloc.start()
+    try:
+        assert quality.judge(docs, labels).count() == 20
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 9 * quality.SYMBOLS**quality.ORDER  # a model is 4 bytes a gram while it is made and 2 then
+
+
 def test_quality_counts_that_go_on_early():
     texts, table_ = [" ".join(words(700 + i, 30)) for i in range(9)], np.arange(65536) % quality.SYMBOLS
     batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])
