@@ -2,14 +2,16 @@
 
 ``files`` has (path, text).  Formats of lines are read with windows over each
 file's lines, JSON with built-in functions; TOML and nested npm trees, which no
-built-in reads, in Arrow batches.  A file that can't be parsed gives no row.
+built-in reads, in Arrow batches, whose size doesn't follow the files' (``_pieces``).
+A file that can't be parsed gives no row.
 """
 
 from __future__ import annotations
 
 import json
 import tomllib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import batched
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -45,6 +47,34 @@ def npm(files: DataFrame) -> DataFrame:
     return _row(rows.select("file", F.regexp_extract("path", r"^(?:.*node_modules/)?(.*)$", 1).alias("name"), "e.version", "path", "e.integrity"), "package-lock.json", F.col("integrity"), F.col("path"))
 
 
+#: Characters of a piece of a text, and rows that Python returns at once: with them a batch is bounded, however many and large the files.
+PIECE, ROWS = 2_000, 10_000
+
+
+def _pieces(files: DataFrame) -> DataFrame:
+    """(file, no, piece): texts in pieces that follow one another, ``no`` is 0 at the first."""
+    return files.select("file", F.posexplode(F.regexp_extract_all("text", F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))).alias("no", "piece"))
+
+
+def _whole(batches: Iterable[pd.DataFrame]) -> Iterator[tuple[str, str]]:
+    """(file, text), one file at a time, of batches of ``_pieces``."""
+    held, of = [], None
+    for batch in batches:
+        for file, no, piece in zip(batch["file"], batch["no"], batch["piece"]):
+            if no == 0 and held:
+                yield of, "".join(held)
+                held = []
+            of = file
+            held.append(piece)
+    if held:
+        yield of, "".join(held)
+
+
+def _frames(rows: Iterable[tuple], columns: list[str]) -> Iterator[pd.DataFrame]:
+    for some in batched(rows, ROWS):
+        yield pd.DataFrame(some, columns=columns, dtype=object)
+
+
 def _nested(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Trees of package-lock version 1, at most 20 levels deep."""
     for batch in batches:
@@ -138,18 +168,18 @@ def pipfile(files: DataFrame) -> DataFrame:
 
 
 def _toml(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        rows = []
-        for file, text in zip(batch["file"], batch["text"]):
+    def rows():
+        for file, text in _whole(batches):
             try:
-                rows += [(file, p["name"], p["version"], p.get("checksum")) for p in tomllib.loads(text).get("package", []) if "name" in p and "version" in p]
+                yield from [(file, p["name"], p["version"], p.get("checksum")) for p in tomllib.loads(text).get("package", []) if "name" in p and "version" in p]
             except (tomllib.TOMLDecodeError, TypeError):
                 continue
-        yield pd.DataFrame(rows, columns=["file", "name", "version", "integrity"], dtype=object)
+
+    yield from _frames(rows(), ["file", "name", "version", "integrity"])
 
 
 def toml(files: DataFrame, name: str) -> DataFrame:
-    return _row(_of(files, name).mapInPandas(_toml, "file string, name string, version string, integrity string"), name, F.col("integrity"))
+    return _row(_pieces(_of(files, name)).mapInPandas(_toml, "file string, name string, version string, integrity string"), name, F.col("integrity"))
 
 
 def parsed(files: DataFrame) -> DataFrame:

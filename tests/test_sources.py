@@ -2,6 +2,8 @@
 
 import json
 
+import pandas as pd
+import pytest
 from palisade.functions import text as T
 from palisade.sources import files as sources
 from palisade.sources import lockfiles, observations
@@ -35,6 +37,44 @@ def test_lockfiles(spark):
     assert [tuple(r) for r in lockfiles.unpinned_requirements(files).collect()] == [("requirements.txt", 1)]
 
 
+def test_lockfile_texts(spark):
+    """Texts of several pieces, empty ones, two of one path: each is read whole and for itself."""
+    many = [(f"p\u00e9\U0001f980{i}", f"1.{i}") for i in range(999)]
+    toml = "".join(f'[[package]]\r\nname = "{n}"\nversion = "{v}"\n# \U0001f980\n' for n, v in many)
+    tree = json.dumps({"dependencies": {n: {"version": v} for n, v in many}}, ensure_ascii=False)
+    one = '[[package]]\nname = "a"\nversion = "1"\n'
+    files = [("Cargo.lock", toml), ("Cargo.lock", one), ("b/Cargo.lock", ""), ("c/Cargo.lock", None), ("d/Cargo.lock", toml + "x = ["), ("e/Cargo.lock", one), ("package-lock.json", tree), ("f/package-lock.json", tree[:-1]), ("g/package-lock.json", "")]
+    files = spark.createDataFrame(files, "path string, text string").coalesce(1)
+    got = sorted((r.file, r.name, r.version) for r in lockfiles.parsed(files).collect())
+    assert got == sorted([(f, *p) for f in ("Cargo.lock", "package-lock.json") for p in many] + [("Cargo.lock", "a", "1"), ("e/Cargo.lock", "a", "1")])
+
+
+@pytest.mark.parametrize("kind", ["poetry"])
+def test_lockfile_batches(spark, monkeypatch, kind):
+    """What Python holds of texts and rows at once follows neither the number of files nor their size."""
+    from palisade.plans import detection
+
+    frame, sizes = type(spark.range(1)), []
+    real = frame.mapInPandas
+
+    def spy(self, func, schema):
+        def counted(batches):
+            seen = []
+            kept = (seen.append(b[b.columns[-1]].str.len().max()) or b for b in batches)
+            rows = [len(out) for out in func(kept)]
+            yield pd.DataFrame({"rows": [max(rows, default=0)], "chars": [max(seen, default=0)]})
+
+        sizes.append(real(self, counted, "rows long, chars long"))
+        return real(self, func, schema)
+
+    monkeypatch.setattr(frame, "mapInPandas", spy)
+    _, _, head, entry, joint, tail, *_ = detection.LOCKS[kind]
+    text = head + joint.join(entry.replace("{p}", str(p)).replace("{v}", "0") for p in range(12_000)) + tail
+    files = spark.createDataFrame([(f"s{i}/{detection.LOCKS[kind][0]}", text) for i in range(3)], "path string, text string").coalesce(1)
+    assert detection.READERS[kind](files).count() == 36_000
+    assert all(r.rows <= 10_000 and r.chars <= 10_000 for r in sizes[0].collect())
+
+
 def test_tree(spark, tmp_path):
     for path, data in {"node_modules/a/index.js": b"eval(x)", "node_modules/a/README.md": b"x", "node_modules/a/.cache/y.js": b"x", "node_modules/a/b.min.js": b"x", "src/app.js": b"import a from 'a'", ".github/workflows/ci.yml": b"on: push\njobs:", "node_modules/big/i.js": b"a" * 600_000 + b"END"}.items():
         p = tmp_path / path
