@@ -77,9 +77,8 @@ def _frames(rows: Iterable[tuple], columns: list[str]) -> Iterator[pd.DataFrame]
 
 def _nested(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Trees of package-lock version 1, at most 20 levels deep."""
-    for batch in batches:
-        rows = []
-        for file, text in zip(batch["file"], batch["text"]):
+    def rows():
+        for file, text in _whole(batches):
             try:
                 top = json.loads(text)
                 todo = [] if top.get("packages") else [(top.get("dependencies") or {}, "", 0)]
@@ -88,16 +87,17 @@ def _nested(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     for name, e in tree.items():
                         place = f"{above}node_modules/{name}"
                         if e.get("version"):
-                            rows.append((file, name, e["version"], e.get("integrity"), place))
+                            yield file, name, e["version"], e.get("integrity"), place
                         if e.get("dependencies") and level < 20:
                             todo.append((e["dependencies"], f"{place}/", level + 1))
             except (ValueError, AttributeError, TypeError):
                 continue
-        yield pd.DataFrame(rows, columns=["file", "name", "version", "integrity", "dir_path"], dtype=object)
+
+    yield from _frames(rows(), ["file", "name", "version", "integrity", "dir_path"])
 
 
 def npm_v1(files: DataFrame) -> DataFrame:
-    rows = _of(files, "package-lock.json").where(~F.col("text").contains('"packages"')).mapInPandas(_nested, "file string, name string, version string, integrity string, dir_path string")
+    rows = _pieces(_of(files, "package-lock.json").where(~F.col("text").contains('"packages"'))).mapInPandas(_nested, "file string, name string, version string, integrity string, dir_path string")
     return _row(rows, "package-lock.json", F.col("integrity"), F.col("dir_path"))
 
 
