@@ -49,7 +49,7 @@ def test_lockfile_texts(spark):
     assert got == sorted([(f, *p) for f in ("Cargo.lock", "package-lock.json") for p in many] + [("Cargo.lock", "a", "1"), ("e/Cargo.lock", "a", "1")])
 
 
-@pytest.mark.parametrize("kind", ["poetry", "npm_v1"])
+@pytest.mark.parametrize("kind", ["poetry", "npm_v1", "package_dedup"])
 def test_lockfile_batches(spark, monkeypatch, kind):
     """What Python holds of texts and rows at once follows neither the number of files nor their size."""
     from palisade.plans import detection
@@ -68,11 +68,12 @@ def test_lockfile_batches(spark, monkeypatch, kind):
         return real(self, func, schema)
 
     monkeypatch.setattr(frame, "mapInPandas", spy)
+    read, kind, n = (lockfiles.packages, "cargo", 12_000) if kind == "package_dedup" else (detection.READERS[kind], kind, 36_000)
     _, _, head, entry, joint, tail, *_ = detection.LOCKS[kind]
     text = head + joint.join(entry.replace("{p}", str(p)).replace("{v}", "0") for p in range(12_000)) + tail
     files = spark.createDataFrame([(f"s{i}/{detection.LOCKS[kind][0]}", text) for i in range(3)], "path string, text string").coalesce(1)
-    assert detection.READERS[kind](files).count() == 36_000
-    assert all(r.rows <= 10_000 and r.chars <= 10_000 for r in sizes[0].collect())
+    assert read(files).count() == n
+    assert all(r.rows <= 10_000 and r.chars <= 10_000 for s in sizes for r in s.collect())
 
 
 def test_tree(spark, tmp_path):
