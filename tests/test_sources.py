@@ -49,7 +49,7 @@ def test_lockfile_texts(spark):
     assert got == sorted([(f, *p) for f in ("Cargo.lock", "package-lock.json") for p in many] + [("Cargo.lock", "a", "1"), ("e/Cargo.lock", "a", "1")])
 
 
-@pytest.mark.parametrize("kind", ["poetry", "npm_v1", "package_dedup"])
+@pytest.mark.parametrize("kind", ["poetry", "npm_v1", "package_dedup", "cargo"])
 def test_lockfile_batches(spark, monkeypatch, kind):
     """What Python holds of texts and rows at once follows neither the number of files nor their size."""
     from palisade.plans import detection
